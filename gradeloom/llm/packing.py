@@ -14,6 +14,7 @@ lengths are broken by id, piece and checksum, so reruns agree.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from gradeloom.llm.shared import bounded_batches, materialize
 
 _ENCODERS: dict[str, WordEncoder] = {}
+#: Letters for which composition and lower-casing go letter by letter.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordEncoder:
@@ -35,6 +38,8 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its parts between spaces and newlines, which are remembered.
+    Unknown parts that are plain words, maybe before a comma or full stop, are
+    encoded many at once in lower case, and told apart by their last tokens.
     """
 
     def __init__(self, path: str, most: int = 400_000, longest: int = 64):
@@ -43,10 +48,42 @@ class WordEncoder:
 
         self.tok, self.most, self.longest, self.known = Tokenizer.from_file(path), most, longest, {"": b""}
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = self._each([".", ","])
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _each(self, words: list[str]) -> dict[str, bytes]:
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.batch(words, add_special_tokens=False))}
 
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        lines = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        for line, e in zip(lines, self.batch([" ".join(line) for line in lines], add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) == len(line):
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(line, [0, *ends], ends))
+            else:
+                out.update(self._each(line))
+        return out
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        plain: dict[str, tuple[str, str]] = {}
+        other = []
+        for w in words:
+            stem, mark = (w[:-1], w[-1]) if w[-1] in self.marks else (w, "")
+            if _PLAIN.fullmatch(stem):
+                plain[w] = stem.lower(), mark
+            else:
+                other.append(w)
+        known = self.known
+        stems = {s: known[s] for s, _ in plain.values() if s in known}
+        stems |= self._plain(sorted({s for s, _ in plain.values()} - stems.keys()))
+        out = {w: stems[s] + self.marks[m] if m else stems[s] for w, (s, m) in plain.items()}
+        return stems | out | self._each(other)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:

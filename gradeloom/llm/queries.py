@@ -53,3 +53,26 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_chat_format"] = op7_chat_format
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.shared import not_held_out
+    from gradeloom.llm.toxicity import score, train
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), not_held_out(F.col("doc_id")))
+    return score(docs, model).select("doc_id", (~not_held_out(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.langid import predict, train, vocabulary
+    from gradeloom.llm.shared import not_held_out
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    vocab = vocabulary(tokenizer_file("piece_bpe_32k.model"))
+    langs, table = train(docs, vocab, not_held_out(F.col("doc_id")))
+    out = predict(docs.select("doc_id", "text"), vocab, langs, table)
+    return out.select("doc_id", (~not_held_out(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES |= {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid}
