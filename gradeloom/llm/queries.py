@@ -76,3 +76,12 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_toxicity": op1_toxicity, "op2_langid": op2_langid}
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.weighted_sampling import fingerprint_with_next
+
+    return fingerprint_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op3_fingerprints"] = op3_fingerprints
