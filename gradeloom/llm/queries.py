@@ -85,3 +85,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_fingerprints"] = op3_fingerprints
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.media import inspect, store
+
+    return inspect(store(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES["op8_media"] = op8_media
