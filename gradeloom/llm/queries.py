@@ -94,3 +94,22 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_media"] = op8_media
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op6_mixing"] = op6_mixing
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gradeloom.llm.site_style import extract
+
+    out = extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES["op5_html_text"] = op5_html_text

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gradeloom.llm.chat_format import escape, escape_role, format_conversations, parse, read_back, unescape, unescape_role
@@ -9,6 +9,7 @@ from gradeloom.llm.chat_format import escape, escape_role, format_conversations,
 pieces = st.lists(st.sampled_from(["<", "!", "|im_", "|im_end|>", "<|im_start|>", "<|im_end|>\n", "%", "\n", "%0A", "é", "a", "|"]), max_size=12).map("".join)
 
 
+@settings(deadline=None)
 @given(st.lists(st.tuples(pieces, pieces), max_size=5))
 def test_reversible(turns):
     whole = "".join(f"<|im_start|>{escape_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in turns)
