@@ -42,65 +42,89 @@ class WordEncoder:
     encoded many at once in lower case, and told apart by their last tokens.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 48, segment: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok, self.most, self.longest, self.known = Tokenizer.from_file(path), most, longest, {"": b""}
-        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.most, self.longest, self.segment = most, longest, segment
+        self.tok, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.batch, self.bare = (getattr(t, "encode_batch_fast", t.encode_batch) for t in (self.tok, bare))
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
         self.marks = self._each([".", ","])
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.batch(words, add_special_tokens=False))}
 
-    def _plain(self, words: list[str]) -> dict[str, bytes]:
+    def _plain(self, words: list[str], line: int = 100) -> dict[str, bytes]:
+        """Plain words in lower case, ``line`` of them encoded as one text."""
         out = {}
-        lines = [words[i : i + 1000] for i in range(0, len(words), 1000)]
-        for line, e in zip(lines, self.batch([" ".join(line) for line in lines], add_special_tokens=False)):
+        lines = [words[i : i + line] for i in range(0, len(words), line)]
+        for own, e in zip(lines, self.bare([" ".join(x) for x in lines], add_special_tokens=False)):
             ids = np.asarray(e.ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) == len(line):
+            if len(ends) == len(own):
                 raw = ids.tobytes()
-                out.update((w, raw[a:b]) for w, a, b in zip(line, [0, *ends], ends))
+                out.update(zip(own, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:
-                out.update(self._each(line))
+                out.update(self._each(own))
         return out
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain: dict[str, tuple[str, str]] = {}
-        other = []
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        plain, known = {}, self.known  # a word and its stem in lower case
         for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1] in self.marks else (w, "")
-            if _PLAIN.fullmatch(stem):
-                plain[w] = stem.lower(), mark
-            else:
-                other.append(w)
-        known = self.known
-        stems = {s: known[s] for s, _ in plain.values() if s in known}
-        stems |= self._plain(sorted({s for s, _ in plain.values()} - stems.keys()))
-        out = {w: stems[s] + self.marks[m] if m else stems[s] for w, (s, m) in plain.items()}
-        return stems | out | self._each(other)
+            stem = w[:-1] if w[-1] in ".," else w
+            if stem.isalpha() and (stem.isascii() or _PLAIN.fullmatch(stem)):
+                plain[w] = stem.lower()
+        new = {s for s in plain.values() if s not in known}
+        out = self._plain(list(new))
+        rest = words - plain.keys()
+        if rest:
+            out.update(self._each(list(rest)))
+        for w, s in plain.items():
+            if w not in out:
+                ids = out[s] if s in out else known[s]
+                out[w] = ids if len(w) == len(s) else ids + self.marks[w[-1]]
+        return out
+
+    def _segments(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > self.segment and (cut := text.find(" ", at + self.segment)) >= 0:
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = set(words).difference(self.known)
-            own = {}
-            if new:
-                if len(self.known) + len(new) > self.most:
-                    self.known = {"": b""}
-                    new = set(words) - {""}
-                learnt = self._learn(list(new))
-                own = {w: b for w, b in learnt.items() if len(w) > self.longest}
-                self.known.update((w, b) for w, b in learnt.items() if w not in own)
-            known = self.known
-            out.append(b"".join([own[w] if w in own else known[w] for w in words] if own else map(known.__getitem__, words)))
+        """Ids of each text; most that is looked up at once is a segment of about ``segment`` characters."""
+        out, parts, size = [b""] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            for own in self._segments(text):
+                parts.append((i, own.replace("\n", " ").split(" ")))
+                size += len(own)
+                if size > self.segment:
+                    self._look_up(parts, out)
+                    parts, size = [], 0
+        self._look_up(parts, out)
         return out
 
+    def _look_up(self, parts: list[tuple[int, list[str]]], out: list[bytes]) -> None:
+        words = [w for _, own in parts for w in own]
+        got = list(map(self.known.get, words))
+        if None in got:
+            learnt = self._learn({w for w, ids in zip(words, got) if ids is None})
+            got = [learnt[w] if ids is None else ids for w, ids in zip(words, got)]
+            if len(self.known) + len(learnt) > self.most:
+                self.known = {"": b""}
+            self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= self.longest)
+        at = 0
+        for i, own in parts:
+            out[i] += b"".join(got[at : at + len(own)])
+            at += len(own)
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:

@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from gradeloom.llm.packing import WordEncoder, best_fit, pack, pack_documents, pieces
 from gradeloom.llm.queries import tokenizer_file
@@ -21,10 +23,19 @@ TEXTS = ["", "Hello  World\n\nfoo's BAR", "Straße ΣΑΣ é é 中文字 123 45
 
 
 def test_word_ids_equal_whole_text_ids(tok):
-    enc = WordEncoder(PATH, most=50)
-    got = enc.encode(TEXTS)
-    for text, ids in zip(TEXTS, got):
-        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    for options in ({"most": 50}, {"segment": 100}, {}):
+        enc = WordEncoder(PATH, **options)
+        for _ in range(2):
+            for text, ids in zip(TEXTS, enc.encode(TEXTS)):
+                assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+@settings(deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBé ÉßİΣ'sd.,\n\tﬁ中1²ªμ\u0301\u200b\xa0ǅ"), max_size=30), max_size=4))
+def test_any_text(texts):
+    enc = test_any_text.enc = getattr(test_any_text, "enc", None) or WordEncoder(PATH)
+    for text, ids in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
 def verify(spark, tok, rows, capacity, **options):
