@@ -296,3 +296,15 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            yield b.filter(pa.array(model.score([t or "" for t in b.column(at).to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

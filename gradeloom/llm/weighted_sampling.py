@@ -50,13 +50,13 @@ def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((x >> _U(32)).astype(np.float64) + 0.5) * 2.0**-32, ((x & _U(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
 
 
-def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def terms(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles and their counts."""
     words = WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-    k = min(SHINGLE, len(h))
+    k = min(shingle, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
@@ -67,8 +67,8 @@ def terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 _DONORS = np.stack([(mix(np.arange(SLOTS, dtype=np.uint64) * _U(4096) + _U(a), 9) % _U(SLOTS)).astype(np.int64) for a in range(4 * SLOTS)])
 
 
-def sample(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Fingerprints (texts, SLOTS) of texts given by their terms."""
+def sample(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) -> np.ndarray:
+    """Fingerprints (texts, SLOTS) of texts given by their terms, as 8-bit or 16-bit values."""
     n = len(found)
     sizes = np.array([len(h) for h, _ in found], np.int64)
     h = np.concatenate([x for x, _ in found])
@@ -80,9 +80,9 @@ def sample(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     t = np.floor(np.log(w) / r + beta)
     ln_a = np.log(-np.log(c1 * c2)) - r * (t - beta + 1)
     slot = np.repeat(np.arange(n), sizes) * SLOTS + (mix(h, 5) % _U(SLOTS)).astype(np.int64)
-    code = (mix(h + t.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93), 6) >> _U(56)).astype(np.uint8)
+    code = (mix(h + t.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93), 6) >> _U(64 - 8 * np.dtype(kind).itemsize)).astype(kind)
     order = np.argsort(-ln_a, kind="stable")  # the least is written last
-    out, full = np.zeros(n * SLOTS, np.uint8), np.zeros(n * SLOTS, bool)
+    out, full = np.zeros(n * SLOTS, kind), np.zeros(n * SLOTS, bool)
     out[slot[order]] = code[order]
     full[slot] = True
     out, full = out.reshape(n, SLOTS), full.reshape(n, SLOTS)

@@ -105,3 +105,50 @@ def test_shingles():
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def shingle_set(text, k=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def corpus(rng):
+    """(rows, groups): near copies at a similarity of 0.9 and up, exact copies, and texts that share a fifth."""
+    vocab = [f"w{i}" for i in range(3000)]
+    text = lambda n: [vocab[j] for j in rng.integers(0, len(vocab), n)]
+    rows, groups, shared = [], [], text(40)
+    for g in range(40):
+        base = text(200)
+        own = []
+        for c in range(int(rng.integers(1, 6))):
+            words = list(base)
+            if c % 3 == 1:
+                words[int(rng.integers(200))] = "edited"
+            if c % 3 == 2:
+                words = words + text(5)
+            own.append(len(rows))
+            rows.append((len(rows), " ".join(words)))
+        groups.append(own)
+        groups.append([len(rows)])
+        rows.append((len(rows), " ".join(shared + text(160))))
+    return rows, groups
+
+
+def test_similar_documents(spark):
+    from gradeloom.llm.simhash import keep_one, similar_documents
+
+    rows, groups = corpus(np.random.default_rng(11))
+    want = {i: g[0] for g in groups for i in g}
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, entry string, component_id int")
+    assert {r.doc_id: r.component_id for r in similar_documents(df).collect()} == want
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({g[0] for g in groups})
+
+
+def test_keep_one_edges(spark):
+    from gradeloom.llm.simhash import keep_one
+
+    rows = [(None, "a b"), (None, "a b"), (3, "A  b"), (4, "zzz"), (4, "zzz"), (5, None), (6, ""), (None, "lone null"), (8, "x y z " * 30_000)]
+    got = sorted((r.doc_id or -1 for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [-1, -1, -1, 3, 4, 4, 5, 8]
+    assert keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
