@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.llm.oracles import ORACLES  # noqa: F401
 from gradeloom.llm.shared import read_table
 
 
