@@ -52,5 +52,5 @@ def evaluate(responses: DataFrame, names: list[str] | None = None) -> DataFrame:
         F.forall("r", lambda x: x.l).alias("loose"),
         F.transform("r", lambda x: x.s).alias("strict_flags"),
         F.transform("r", lambda x: x.l).alias("loose_flags"),
-        F.transform(F.filter("r", lambda x: x.e), lambda x: x.name).alias("errors"),
+        F.transform(F.filter("r", lambda x: x.e), lambda x: x["name"]).alias("errors"),
     )
