@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradeloom.functions import instructions_python as py
-from gradeloom.functions.text import PUNCTUATION, count_matches, drop_punctuation, is_blank, quoted, strip, strip_chars, strip_punctuation, tokens, words
+from gradeloom.functions.text import PUNCTUATION, count_matches, drop_punctuation, is_blank, let, quoted, strip, strip_chars, strip_punctuation, tokens, words
 
 
 class Args:
@@ -201,10 +201,10 @@ def _rephrase(t, k):
 
 @native("detectable_content:rephrase_paragraph", "original_paragraph", "low", "high")
 def _rephrase_paragraph(t, k):
-    own, other = words(F.lower(t)), words(F.lower(k.text("original_paragraph")))
     count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    shared = F.aggregate(F.array_distinct(other), F.lit(0), lambda acc, w: acc + F.least(count(other, w), count(own, w)))
-    return shared.between(k.number("low"), k.number("high"))
+    shared = lambda own, other: F.aggregate(F.array_distinct(other), F.lit(0), lambda acc, w: acc + F.least(count(other, w), count(own, w)))
+    n = let(words(F.lower(t)), lambda own: let(words(F.lower(k.text("original_paragraph"))), lambda other: shared(own, other)))
+    return n.between(k.number("low"), k.number("high"))
 
 
 # --- second family --------------------------------------------------------------------
@@ -248,14 +248,13 @@ def _names(t, k):
 
 
 def trigrams(c: Column) -> Column:
-    n = F.length(c)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """The different runs of three characters, by a pattern that looks ahead at each place."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), 1))
 
 
 def overlap(text: Column, reference: Column) -> Column:
     """The percentage of a text's character trigrams that the reference has; null without any."""
-    own = trigrams(text)
-    return F.size(F.array_intersect(own, trigrams(reference))) * 100.0 / F.nullif(F.size(own), F.lit(0))
+    return let(trigrams(text), lambda own: F.size(F.array_intersect(own, trigrams(reference))) * 100.0 / F.nullif(F.size(own), F.lit(0)))
 
 
 @native("ratio:overlap", "reference_text", "percentage")
@@ -273,9 +272,12 @@ def _numbers(t, k):
 def _alphabet(t, k):
     own = F.filter(F.transform(tokens(drop_punctuation(t)), F.lower), lambda w: w != "")
     first = F.transform(own, lambda w: F.ascii(w) - 97)
-    begins = F.get(first, F.lit(0))
-    steps = F.forall(F.transform(first, lambda x, i: x == F.pmod(begins + i, F.lit(26))), lambda x: x)
-    return F.coalesce(begins.between(0, 25) & steps, F.lit(False))
+
+    def loops(f: Column) -> Column:
+        begins = F.get(f, F.lit(0))
+        return begins.between(0, 25) & F.forall(F.transform(f, lambda x, i: x == F.pmod(begins + i, F.lit(26))), lambda x: x)
+
+    return F.coalesce(let(first, loops), F.lit(False))
 
 
 @native("words:vowel")
@@ -301,7 +303,7 @@ def _punctuation(t, k):
     first = F.when(t.contains("?!"), F.lit("?!")).otherwise(F.lit("!?"))
     at = F.instr(t, first)
     rest = F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), F.substring(t, at + 2, F.length(t)))).otherwise(t)
-    return bang & F.forall(F.array(*map(F.lit, ".,!?;:")), lambda p: rest.contains(p))
+    return bang & let(rest, lambda r: F.forall(F.array(*map(F.lit, ".,!?;:")), lambda p: r.contains(p)))
 
 
 @native("words:prime_lengths")
@@ -335,16 +337,15 @@ def _japanese(t, k):
 
 @native("words:repeats", "small_n")
 def _repeats(t, k):
-    own = F.array_sort(tokens(drop_punctuation(F.lower(t))))
     n = k.number("small_n")  # in sorted order a word that is n places apart occurs over n times
-    return F.when(n.isNotNull(), ~F.exists(F.transform(own, lambda w, i: F.coalesce(F.get(own, i + n) == w, F.lit(False))), lambda x: x))
+    far = lambda own: ~F.exists(F.transform(own, lambda w, i: F.coalesce(F.get(own, i + n) == w, F.lit(False))), lambda x: x)
+    return let(F.array_sort(tokens(drop_punctuation(F.lower(t)))), far)
 
 
 @native("words:paragraph_last_first")
 def _line_ends(t, k):
     def same(line: Column) -> Column:
-        own = tokens(strip_punctuation(F.lower(strip(line))))
-        return (F.size(own) == 0) | (F.get(own, F.lit(0)) == F.try_element_at(own, F.lit(-1)))
+        return let(tokens(strip_punctuation(F.lower(strip(line)))), lambda own: (F.size(own) == 0) | (F.get(own, F.lit(0)) == F.try_element_at(own, F.lit(-1))))
 
     return F.forall(F.split(t, "\n"), same)
 
@@ -352,7 +353,7 @@ def _line_ends(t, k):
 @native("words:no_consecutive")
 def _no_consecutive(t, k):
     first = F.transform(tokens(drop_punctuation(F.lower(t))), lambda w: F.substring(w, 1, 1))
-    return ~F.exists(F.transform(first, lambda x, i: F.coalesce(F.get(first, i + 1) == x, F.lit(False))), lambda x: x)
+    return let(first, lambda f: ~F.exists(F.transform(f, lambda x, i: F.coalesce(F.get(f, i + 1) == x, F.lit(False))), lambda x: x))
 
 
 @native("format:quote_unquote")

@@ -7,6 +7,8 @@ is stripped by pattern.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: a lambda inside f would compute an outer expression for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def quoted(chars: str) -> str:
     """The characters inside a regex class."""
     return "".join("\\" + c if not c.isalnum() and c != " " else c for c in chars)
