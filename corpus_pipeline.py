@@ -17,16 +17,19 @@ from gradeloom.llm.queries import tokenizer_file
 from gradeloom.llm.shared import materialize, not_held_out, read_table
 from gradeloom.llm.simhash import keep_one
 from gradeloom.llm.toxicity import drop_toxic, train
+from gradeloom.session import share_code
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7."""
+    share_code(spark)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return drop_toxic(docs, train(docs.select("doc_id", "text"), labels, not_held_out(F.col("doc_id"))))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that at least three of them hold, but in the largest doc_id; n_chars follows the text."""
+    share_code(spark)
     out = dedup_lines(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -35,11 +38,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates: five words, similarity of 0.8."""
+    share_code(spark)
     return keep_one(docs, words=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    share_code(spark)
     plan = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).where("__copies > 0").distinct()
     own = docs.withColumn("__n", n_words(F.col("text")))
     hit = own.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
@@ -48,6 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)"""
+    share_code(spark)
     return pack_documents(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
 
 
