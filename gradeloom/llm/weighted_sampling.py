@@ -149,7 +149,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = own.select("id")
     n = ids.count()
     tasks = max(1, min(-(-n // per_task), 20_000))
-    cuts = ids.agg(F.percentile_approx("id", [k / tasks for k in range(1, tasks)] or [0.5], 100 * tasks)).first()[0] if n else None
+    cuts = ids.agg(F.percentile_approx("id", [k / tasks for k in range(1, tasks)] or [0.5], min(100 * tasks, 1_000_000))).first()[0] if n else None
     bounds = np.array(sorted(set(cuts or [])) if tasks > 1 else [], np.int64)
 
     def place(values: pa.Array) -> np.ndarray:
