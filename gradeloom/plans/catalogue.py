@@ -189,10 +189,10 @@ def bootstrap_ci(spark, sf_dir):
 # --- planning ---------------------------------------------------------------------------
 
 
-@query("grid_pending", f"WITH {RECORDS} SELECT u AS sample_id, CAST(g AS INT) AS gen_idx FROM (SELECT DISTINCT user_id AS u FROM events), range(20) t(g) EXCEPT SELECT sample_id, gen_idx FROM records WHERE NOT (sample_id % 7 = 0 AND gen_idx % 5 = 1)")
+@query("grid_pending", f"WITH {RECORDS} SELECT u AS sample_id, CAST(g AS INT) AS gen_idx FROM (SELECT DISTINCT user_id AS u FROM events), range(20) t(g) EXCEPT SELECT sample_id, gen_idx FROM records WHERE parsed")
 def grid_pending(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id")).distinct()
-    done = records(spark, sf_dir).where(~((F.col("sample_id") % 7 == 0) & (F.col("gen_idx") % 5 == 1)))
+    done = records(spark, sf_dir).where("parsed")
     return P.pending(samples, done, 20)
 
 
@@ -202,9 +202,9 @@ def pending_by_sample(spark, sf_dir):
     return P.pending_by_sample(P.pending(samples, records(spark, sf_dir), 20)).select("sample_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "num_generations")
 
 
-@query("resume_filter", f"WITH {RECORDS} SELECT sample_id, gen_idx, score FROM records WHERE gen_idx BETWEEN 0 AND 7 AND sample_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@query("resume_filter", f"WITH {RECORDS} SELECT sample_id, gen_idx, score FROM records WHERE gen_idx BETWEEN 0 AND 7 AND sample_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def resume_filter(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("sample_id"))
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("sample_id"))
     return P.resume(records(spark, sf_dir), known, 8).select("sample_id", "gen_idx", "score")
 
 
@@ -232,11 +232,11 @@ def union_existing_new(spark, sf_dir):
     return P.union_records(r.where("gen_idx < 4").withColumn("note", F.lit(None).cast("string")), r.where("gen_idx >= 12").withColumn("note", F.lit("new")))
 
 
-@query("summary_merge", "WITH n AS (SELECT o_custkey AS task, count(*) AS v FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), o AS (SELECT o_custkey AS task, count(*) AS v FROM orders GROUP BY 1) SELECT * FROM n UNION ALL SELECT * FROM o WHERE task NOT IN (SELECT task FROM n)")
+@query("summary_merge", "WITH n AS (SELECT o_custkey AS task, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), o AS (SELECT o_custkey AS task, count(*) AS v FROM orders GROUP BY 1) SELECT * FROM n UNION ALL SELECT * FROM o WHERE task NOT IN (SELECT task FROM n)")
 def summary_merge(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task"), "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("task"), "o_orderstatus")
     count = lambda d: d.groupBy("task").agg(F.count("*").alias("v"))
-    return P.merge_summaries(count(o.where("o_orderkey % 5 = 0")), count(o))
+    return P.merge_summaries(count(o.where("o_orderstatus = 'F'")), count(o))
 
 
 @query("round_robin", "SELECT doc_id, doc_id % 3 AS worker FROM documents")
@@ -244,9 +244,9 @@ def round_robin(spark, sf_dir):
     return P.round_robin(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 3)
 
 
-@query("n_bucket", f"WITH {RECORDS}, b AS (SELECT sample_id, CAST(count(*) AS INT) AS num_generations FROM records WHERE gen_idx < 4 + sample_id % 5 GROUP BY 1) SELECT num_generations, count(*) AS prompts FROM b GROUP BY 1")
+@query("n_bucket", f"WITH {RECORDS}, b AS (SELECT sample_id, CAST(count(*) AS INT) AS num_generations FROM records WHERE parsed GROUP BY 1) SELECT num_generations, count(*) AS prompts FROM b GROUP BY 1")
 def n_bucket(spark, sf_dir):
-    r = records(spark, sf_dir).where("gen_idx < 4 + sample_id % 5").groupBy("sample_id").agg(F.count("*").cast("int").alias("num_generations"))
+    r = records(spark, sf_dir).where("parsed").groupBy("sample_id").agg(F.count("*").cast("int").alias("num_generations"))
     return r.groupBy("num_generations").agg(F.count("*").alias("prompts"))
 
 
