@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.instructions import follow
+from gradeloom.functions.instructions import NATIVE, follow, known
+from gradeloom.functions.instructions_python import PREDICATES, follow_many_udf
 from gradeloom.functions.text import is_blank, strip
 
 KEY = ["sample_id", "gen_idx"]
@@ -33,12 +34,18 @@ def evaluate(responses: DataFrame, names: list[str] | None = None) -> DataFrame:
     An instruction without its arguments follows neither way and is named in
     ``errors``. ``names``: the instruction ids that occur, if known.
     """
-    each = responses.select(*KEY, F.coalesce("generation", F.lit("")).alias("text"), F.posexplode("instruction_ids").alias("pos", "name"), F.col("kwargs"))
-    args = F.coalesce(F.get("kwargs", F.col("pos")), F.lit("{}"))
-    read = each.select(*KEY, "pos", "name", args.alias("args"), F.posexplode(variants(F.col("text"))).alias("v", "variant"))
-    # readings that equal an earlier one of the same response need no second look
-    flag = F.when(is_blank(F.col("variant")), F.lit(False)).otherwise(follow(F.col("name"), F.col("variant"), F.col("args"), names))
-    judged = read.select(*KEY, "pos", "name", "v", is_blank(F.col("variant")).alias("blank"), flag.alias("ok"))
+    wanted = names or known()
+    slow, quick = any(n in PREDICATES for n in wanted), [n for n in wanted if n in NATIVE]
+    args = F.transform("instruction_ids", lambda _, i: F.coalesce(F.get("kwargs", i), F.lit("{}")))
+    each = responses.select(*KEY, F.coalesce("generation", F.lit("")).alias("text"), "instruction_ids", args.alias("args"))
+    read = each.select(*KEY, "instruction_ids", "args", F.posexplode(variants(F.col("text"))).alias("v", "variant"))
+    # Python sees each reading once, with all its instructions
+    judge = follow_many_udf("variant", "instruction_ids", "args") if slow else F.transform("instruction_ids", lambda _: F.lit(None).cast("boolean"))
+    told = read.withColumn("told", judge).select(*KEY, "v", "variant", F.posexplode(F.arrays_zip("instruction_ids", "args", "told")).alias("pos", "z"))
+    name, own = F.col("z.instruction_ids"), F.col("z.told")
+    flag = F.coalesce(follow(name, F.col("variant"), F.col("z.args"), quick), own) if quick else own
+    blank = is_blank(F.col("variant"))
+    judged = told.select(*KEY, "pos", name.alias("name"), "v", blank.alias("blank"), F.when(blank, F.lit(False)).otherwise(flag).alias("ok"))
     per = judged.groupBy(*KEY, "pos").agg(
         F.first("name").alias("name"),
         F.coalesce(F.bool_or(F.when(F.col("v") == 0, F.col("ok"))), F.lit(False)).alias("s"),

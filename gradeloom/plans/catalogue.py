@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import extract as X
@@ -556,16 +556,15 @@ def if_strict_loose(spark, sf_dir):
     return following.evaluate(d, list(STRICT_LOOSE)).select("sample_id", "strict", "loose")
 
 
-def _python_instructions() -> Column:
-    names = sorted(I.py.PREDICATES)
-    args = '{"language": "en", "num_sentences": 3, "relation": "at least", "key_sentences": ["a"], "capital_frequency": 3, "capital_relation": "at least", "word": "the", "N": 1, "small_n": 1, "keyword": "the", "n": 1, "m": 1}'
-    return F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(n.alias("name"), F.lit(args).alias("args")))
+PYTHON_ARGS = '{"language": "en", "num_sentences": 3, "relation": "at least", "key_sentences": ["a"], "capital_frequency": 3, "capital_relation": "at least", "word": "the", "N": 1, "small_n": 1, "keyword": "the", "n": 1, "m": 1}'
 
 
 @query("if_python_predicates")
 def if_python_predicates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(_python_instructions()).alias("i"))
-    return d.select("doc_id", F.col("i.name").alias("name"), I.py.follow_udf(F.col("i.name"), F.col("text"), F.col("i.args")).alias("followed")).groupBy("name").agg(F.count_if("followed").alias("followed"), F.count("*").alias("n"))
+    names = F.array(*map(F.lit, sorted(I.py.PREDICATES)))
+    told = I.py.follow_many_udf("text", names, F.transform(names, lambda _: F.lit(PYTHON_ARGS)))
+    d = table(spark, sf_dir, "documents").select("doc_id", told.alias("told"))
+    return d.select("doc_id", F.explode(F.arrays_zip(names.alias("name"), F.col("told").alias("followed"))).alias("z")).select("doc_id", "z.name", "z.followed").groupBy("name").agg(F.count_if("followed").alias("followed"), F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
