@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.components import connected_components
 from gradeloom.llm.shared import bounded_batches, materialize
-from gradeloom.llm.weighted_sampling import SLOTS, mix, sample, terms
+from gradeloom.llm.weighted_sampling import SLOTS, mix, sample_sets, terms
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
@@ -242,7 +242,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 b = part.slice(lo, 64)
                 raw = [t or b"" for t in pc.cast(pc.cast(b.column(1), pa.large_string()), pa.large_binary()).to_pylist()]
                 found = [(h, np.ones(len(h))) for h, _ in (terms(t, words) for t in raw)]
-                marks = sample(found, np.uint16)
+                marks = sample_sets(found, np.uint16)
                 keys = np.zeros((len(raw), BANDS), np.uint64)
                 for j in range(BAND_ROWS):
                     keys = keys * np.uint64(0x9FB21C651E98DF25) + marks[:, j * BANDS : (j + 1) * BANDS]

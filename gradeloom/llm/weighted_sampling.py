@@ -1,14 +1,17 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text's weighted terms are its shingles of five words (with fewer words: the
-whole sequence) and their counts. For each term, a hash of it draws r and c from
-Gamma(2, 1) and beta uniformly; with weight w, t = floor(ln w / r + beta) and
-ln a = ln c - r (t - beta + 1). Terms are dealt to ``SLOTS`` bins by another
-hash; a bin's sample is the (term, t) with the least a, so that two texts agree
-in a bin with the probability of their generalised Jaccard similarity. Bins that
-stay empty copy a bin chosen by a hash sequence that all texts share. A
-fingerprint has one byte of each sample's hash; the share of equal bytes,
-corrected for chance, estimates the similarity.
+whole sequence) and their counts. For each term and each of ``SLOTS`` slots, a
+hash of both draws r and c from Gamma(2, 1) and beta uniformly; with weight w,
+t = floor(ln w / r + beta) and ln a = ln c - r (t - beta + 1). A slot's sample is
+the (term, t) with the least a of all terms, so that two texts agree in a slot
+with the probability of their generalised Jaccard similarity. A fingerprint has
+one byte of each sample's hash; the share of equal bytes, corrected for chance,
+estimates the similarity.
+
+As a >= v / w with v = c exp(-r), a term is only looked at in the slots where v
+is small: its slots arrive in the order of v, and the search ends once each slot
+has an a that no later arrival can beat. No draw that could win is left out.
 
 Defined cases: a null text is empty. Texts without words have the fingerprint of
 zeros; their likeness to each other is 1, to any other text 0. Ids are whole
@@ -67,8 +70,8 @@ def terms(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 _DONORS = np.stack([(mix(np.arange(SLOTS, dtype=np.uint64) * _U(4096) + _U(a), 9) % _U(SLOTS)).astype(np.int64) for a in range(4 * SLOTS)])
 
 
-def sample(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) -> np.ndarray:
-    """Fingerprints (texts, SLOTS) of texts given by their terms, as 8-bit or 16-bit values."""
+def sample_sets(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) -> np.ndarray:
+    """Sketches (texts, SLOTS) of sets given by their terms, all of one weight: each term competes in one slot, empty slots copy others."""
     n = len(found)
     sizes = np.array([len(h) for h, _ in found], np.int64)
     h = np.concatenate([x for x, _ in found])
@@ -104,6 +107,93 @@ def sample(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) ->
     return out
 
 
+def _tables() -> tuple[np.ndarray, ...]:
+    """ln rate, ln v, ln E1(v) on a grid of v: P(c exp(-r) >= v) = exp(-rate), and E1 is the exponential integral."""
+    ln_v = np.linspace(np.log(1e-18), np.log(64), 1 << 13)
+    v, step = np.exp(ln_v), (np.log(64) - np.log(1e-18)) / ((1 << 13) - 1)
+
+    def above(y: np.ndarray, last: float) -> np.ndarray:
+        return np.append(np.cumsum(((y[1:] + y[:-1]) * step / 2)[::-1])[::-1], 0) + last
+
+    e1 = above(np.exp(-v), np.exp(-64) / 65)
+    stay = above(e1 * v, np.exp(-64) / 65 / 65)
+    gone = np.append(0, np.cumsum((e1 * v)[1:] + (e1 * v)[:-1]) * step / 2) + v[0] * (e1[0] + 1)
+    rate = np.where(gone < 0.5, -np.log1p(-np.minimum(gone, 0.5)), -np.log(stay))
+    return np.maximum.accumulate(np.log(rate)), ln_v, np.log(e1)
+
+
+_LN_RATE, _LN_V, _LN_E1 = _tables()
+#: The same with even steps of ln rate and of ln E1, so that a value's place needs no search.
+_EVEN_RATE, _EVEN_E1 = np.linspace(_LN_RATE[0], _LN_RATE[-1], 1 << 14), np.linspace(_LN_E1[-1], _LN_E1[0], 1 << 14)
+_V_OF_RATE, _E1_OF_RATE = np.interp(_EVEN_RATE, _LN_RATE, _LN_V), np.interp(_EVEN_RATE, _LN_RATE, _LN_E1)
+_S_OF_E1 = np.interp(_EVEN_E1, _LN_E1[::-1], _LN_V[::-1])
+
+
+def _look(x: np.ndarray, even: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    at = np.clip((x - even[0]) * ((len(even) - 1) / (even[-1] - even[0])), 0, len(even) - 1)
+    i = np.minimum(at.astype(np.int64), len(even) - 2)
+    at -= i
+    return [v[i] + at * np.diff(v)[i] for v in values]
+
+
+_TERM, _DRAW, _AT = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
+
+
+def _arrivals(h: np.ndarray, ln_limit: np.ndarray, wanted: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, slot, ln rate) of every first arrival of a term in a wanted slot whose v is under the term's limit.
+
+    A term's arrivals have exponential gaps and a slot each, so that the first
+    in each of the slots are independent draws of that slot's v, least first.
+    """
+    until = np.exp(np.interp(ln_limit, _LN_V, _LN_RATE))
+    of, now, k, found = np.arange(len(h)), np.zeros(len(h)), 0, []
+    while len(of):
+        more = max(1, k // 2)
+        x = mix(h[of][:, None] + np.arange(k, k + more, dtype=np.uint64) * _DRAW, 2)
+        at = now[:, None] + np.cumsum(-np.log(((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1) / SLOTS
+        slot = (x & _U(SLOTS - 1)).astype(np.int64)
+        i, j = np.nonzero((at < until[of][:, None]) & wanted[base[of][:, None] + slot])
+        found.append((of[i], slot[i, j], at[i, j]))
+        go = at[:, -1] < until[of]
+        of, now, k = of[go], at[go, -1], k + more
+    of, slot, at = (np.concatenate(c) for c in zip(*found))
+    _, first = np.unique(of * SLOTS + slot, return_index=True)
+    return of[first], slot[first], np.log(at[first])
+
+
+def sample(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Fingerprints (texts, SLOTS) of texts given by their weighted terms, a byte a slot."""
+    n = len(found)
+    sizes = np.array([len(h) for h, _ in found], np.int64)
+    every_h = np.concatenate([x for x, _ in found])
+    every_w = np.concatenate([x for _, x in found]).astype(np.float64)
+    every_row = np.repeat(np.arange(n), sizes)
+    ln_total = np.log(np.maximum(np.bincount(every_row, every_w, n), 1))
+    out, wanted = np.zeros(n * SLOTS, np.uint8), np.repeat(sizes > 0, SLOTS)
+    for bound in (3.0, 8.0, 20.0, 60.0):
+        live = wanted.reshape(n, SLOTS).any(axis=1)[every_row]
+        h, ln_w, row = every_h[live], np.log(every_w[live]), every_row[live]
+        if not len(h):
+            break
+        of, slot, ln_rate = _arrivals(h, np.log(bound) + ln_w - ln_total[row], wanted, row * SLOTS)
+        ln_v, ln_e1 = _look(ln_rate, _EVEN_RATE, _V_OF_RATE, _E1_OF_RATE)
+        key = h[of] + slot.astype(np.uint64) * _AT
+        u1, u2 = _uniforms(mix(key, 3))
+        beta, _ = _uniforms(mix(key, 4))
+        # given v, c is s + an exponential draw, where s over v has the density exp(-s) / s
+        ln_c = np.log(np.exp(_look(ln_e1 + np.log(u1), _EVEN_E1, _S_OF_E1)[0]) - np.log(u2))
+        r = np.maximum(ln_c - ln_v, 1e-12)
+        t = np.floor(ln_w[of] / r + beta)
+        ln_a = ln_c - r * (t - beta + 1)
+        # what has not arrived has an a over the bound, so a slot is settled by what lies under it, else by a later round
+        under = np.flatnonzero((ln_a < np.log(bound) - ln_total[row[of]]) | (bound == 60))
+        under = under[np.argsort(-ln_a[under], kind="stable")]  # the least is written last
+        to = row[of[under]] * SLOTS + slot[under]
+        out[to] = mix(key[under] + t[under].astype(np.int64).astype(np.uint64) * _TERM, 6) >> _U(56)
+        wanted[to] = False
+    return out.reshape(n, SLOTS)
+
+
 def likeness(a: np.ndarray, b: np.ndarray, a_empty: np.ndarray, b_empty: np.ndarray) -> np.ndarray:
     """Estimated generalised Jaccard similarity of fingerprints, row by row."""
     same = (a == b).mean(axis=1)

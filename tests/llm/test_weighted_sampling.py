@@ -35,6 +35,32 @@ def test_weights_matter():
     assert abs((s[0] == s[1]).mean() - 0.5) < 0.15
 
 
+def test_heavy_terms_count():
+    h = np.arange(1, 501, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for few, often in ((500, 2000), (12, 200), (1, 50), (100, 1)):
+        errors = []
+        for k in range(12):
+            terms_, one = h[:few] + np.uint64(1000 * k), np.ones(few)
+            two = one.copy()
+            two[0] = often
+            s = sample([(terms_, one), (terms_, two)])
+            errors.append((s[0] == s[1]).mean() - (few / (few + often - 1) * 255 + 1) / 256)
+        assert abs(np.mean(errors)) < 0.05 and np.abs(errors).max() < 0.2
+
+
+def test_draws_are_gamma_draws():
+    from gradeloom.llm import weighted_sampling as W
+
+    h = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    of, slot, ln_rate = W._arrivals(h, np.full(400, np.log(60.0)), np.ones(400 * W.SLOTS, bool), np.arange(400) * W.SLOTS)
+    assert len(of) == 400 * W.SLOTS
+    v = np.sort(np.exp(np.interp(ln_rate, W._LN_RATE, W._LN_V)))
+    g = np.random.default_rng(3)
+    want = np.sort(g.gamma(2, size=len(v)) * np.exp(-g.gamma(2, size=len(v))))
+    for q in (0.001, 0.01, 0.1, 0.5, 0.9, 0.99):
+        assert abs(np.searchsorted(v, want[int(q * len(v))]) / len(v) - q) < 6 * (q * (1 - q) / len(v)) ** 0.5
+
+
 def test_query_rows(spark):
     rng = random.Random(1)
     rows = [(7 * i - 50, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(40)))) for i in range(150)]
