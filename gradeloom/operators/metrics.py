@@ -153,16 +153,18 @@ def grid_metrics(records: DataFrame, group: Column) -> DataFrame:
     return sums.select(pairs.alias("p")).select("p.metric", "p.value")
 
 
-#: Fixed values of the resampling index: ((resample * A + draw * C + seed) mod P) mod n.
+#: Fixed values of the arithmetic resampling index: ((resample * A + draw * C + seed) mod P) mod n.
 LCG_A, LCG_C, LCG_P = 1103515245, 12345, 2147483647
 
 
-def bootstrap_mean(values: DataFrame, column: str, *, resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+def bootstrap_mean(values: DataFrame, column: str, *, resamples: int = 1000, seed: int = 42, confidence: float = 0.95, arithmetic: bool = False) -> DataFrame:
     """One row (mean, stderr, ci_low, ci_high): percentile bootstrap of the mean, reproducible and distributed.
 
-    Draws are an arithmetic rule over the values' order (column, then row), so no
-    generator state is shared between tasks. Without values: zeros; with one value
-    or no resamples: that mean, no spread.
+    A draw is a hash of (seed, resample, draw) over the values' order (column, then
+    row), so no generator state is shared between tasks. Without values: zeros; with
+    one value or no resamples: that mean, no spread. ``arithmetic``: the index of the
+    SQL of ``bootstrap_ci``, whose resamples are no random samples and whose spread is
+    no standard error; only to be compared with that SQL.
     """
     base = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
     head = base.agg(F.count("*").alias("n"), mean(F.col("x")).alias("m")).first()
@@ -175,7 +177,7 @@ def bootstrap_mean(values: DataFrame, column: str, *, resamples: int = 1000, see
 
     ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).select("x", (F.col("upto") - F.col("n")).alias("lo"), "upto")
     draws = spark.range(resamples * head.n, numPartitions=max(8, resamples * head.n // 1_000_000)).select((F.col("id") / head.n).cast("bigint").alias("r"), (F.col("id") % head.n).alias("i"))
-    index = ((F.col("r") * LCG_A + F.col("i") * LCG_C + seed) % LCG_P) % head.n
+    index = ((F.col("r") * LCG_A + F.col("i") * LCG_C + seed) % LCG_P) % head.n if arithmetic else F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), "r", "i"), F.lit(head.n))
     hits = draws.select("r", index.alias("at")).groupBy("r", "at").agg(F.count("*").alias("times"))
     drawn = hits.join(ranked, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("upto"))) if head.n > 100_000 else hits.join(F.broadcast(ranked.select("x", F.explode(F.sequence("lo", F.col("upto") - 1)).alias("at"))), "at")
     means = drawn.groupBy("r").agg((F.sum(F.col("x") * F.col("times")) / head.n).alias("m"))

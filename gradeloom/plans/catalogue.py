@@ -183,7 +183,7 @@ def primary_aggregate(spark, sf_dir):
 )
 def bootstrap_ci(spark, sf_dir):
     s = M.per_sample(records(spark, sf_dir))
-    return M.bootstrap_mean(s, "acc", resamples=200).select(*[F.round(c, 9).alias(c) for c in ("mean", "stderr", "ci_low", "ci_high")])
+    return M.bootstrap_mean(s, "acc", resamples=200, arithmetic=True).select(*[F.round(c, 9).alias(c) for c in ("mean", "stderr", "ci_low", "ci_high")])
 
 
 # --- planning ---------------------------------------------------------------------------

@@ -95,3 +95,13 @@ def test_aliases_and_tiers(spark):
     assert as_dict(M.aliased(m, {"accuracy": "exact_match"}))["exact_match_x"] == 0.25
     f = spark.createDataFrame([("a:x", True), ("a:y", False), ("b:z", True)], "instruction_id string, followed boolean")
     assert {(r.tier, r["name"], r.accuracy) for r in M.tier_report(f).collect()} == {(0, "a", 0.5), (0, "b", 1.0), (1, "a:x", 1.0), (1, "a:y", 0.0), (1, "b:z", 1.0)}
+
+
+def test_bootstrap_spread_is_the_standard_error(spark):
+    for n in (15, 151, 1501, 7919):
+        x = [(float((k * 37) % n % 16),) for k in range(n)]
+        r = M.bootstrap_mean(spark.createDataFrame(x, "x double"), "x", resamples=400, seed=3).first()
+        m = sum(v for v, in x) / n
+        true = (sum((v - m) ** 2 for v, in x) / n / n) ** 0.5
+        assert abs(r.stderr / true - 1) < 0.15 and abs(r["mean"] - m) < 1e-9
+        assert abs((r.ci_high - r.ci_low) / (2 * 1.96 * true) - 1) < 0.25
