@@ -67,46 +67,6 @@ def terms(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(out, 1), return_counts=True)
 
 
-_DONORS = np.stack([(mix(np.arange(SLOTS, dtype=np.uint64) * _U(4096) + _U(a), 9) % _U(SLOTS)).astype(np.int64) for a in range(4 * SLOTS)])
-
-
-def sample_sets(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) -> np.ndarray:
-    """Sketches (texts, SLOTS) of sets given by their terms, all of one weight: each term competes in one slot, empty slots copy others."""
-    n = len(found)
-    sizes = np.array([len(h) for h, _ in found], np.int64)
-    h = np.concatenate([x for x, _ in found])
-    w = np.concatenate([x for _, x in found])
-    r1, r2 = _uniforms(mix(h, 2))
-    c1, c2 = _uniforms(mix(h, 3))
-    beta, _ = _uniforms(mix(h, 4))
-    r = -np.log(r1 * r2)
-    t = np.floor(np.log(w) / r + beta)
-    ln_a = np.log(-np.log(c1 * c2)) - r * (t - beta + 1)
-    slot = np.repeat(np.arange(n), sizes) * SLOTS + (mix(h, 5) % _U(SLOTS)).astype(np.int64)
-    code = (mix(h + t.astype(np.int64).astype(np.uint64) * _U(0xD6E8FEB86659FD93), 6) >> _U(64 - 8 * np.dtype(kind).itemsize)).astype(kind)
-    order = np.argsort(-ln_a, kind="stable")  # the least is written last
-    out, full = np.zeros(n * SLOTS, kind), np.zeros(n * SLOTS, bool)
-    out[slot[order]] = code[order]
-    full[slot] = True
-    out, full = out.reshape(n, SLOTS), full.reshape(n, SLOTS)
-    row, col = np.nonzero(~full & (sizes > 0)[:, None])
-    for donors in _DONORS:
-        if not len(row):
-            break
-        give = donors[col]
-        ok = full[row, give]
-        out[row[ok], col[ok]] = out[row[ok], give[ok]]
-        row, col = row[~ok], col[~ok]
-    for i in range(1, SLOTS):  # the few left take the next full bin
-        if not len(row):
-            break
-        give = (col + i) % SLOTS
-        ok = full[row, give]
-        out[row[ok], col[ok]] = out[row[ok], give[ok]]
-        row, col = row[~ok], col[~ok]
-    return out
-
-
 def _tables() -> tuple[np.ndarray, ...]:
     """ln rate, ln v, ln E1(v) on a grid of v: P(c exp(-r) >= v) = exp(-rate), and E1 is the exponential integral."""
     ln_v = np.linspace(np.log(1e-18), np.log(64), 1 << 13)
@@ -161,15 +121,15 @@ def _arrivals(h: np.ndarray, ln_limit: np.ndarray, wanted: np.ndarray, base: np.
     return of[first], slot[first], np.log(at[first])
 
 
-def sample(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Fingerprints (texts, SLOTS) of texts given by their weighted terms, a byte a slot."""
+def sample(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) -> np.ndarray:
+    """Fingerprints (texts, SLOTS) of texts given by their weighted terms, as 8-bit or 16-bit values."""
     n = len(found)
     sizes = np.array([len(h) for h, _ in found], np.int64)
     every_h = np.concatenate([x for x, _ in found])
     every_w = np.concatenate([x for _, x in found]).astype(np.float64)
     every_row = np.repeat(np.arange(n), sizes)
     ln_total = np.log(np.maximum(np.bincount(every_row, every_w, n), 1))
-    out, wanted = np.zeros(n * SLOTS, np.uint8), np.repeat(sizes > 0, SLOTS)
+    out, wanted = np.zeros(n * SLOTS, kind), np.repeat(sizes > 0, SLOTS)
     for bound in (3.0, 8.0, 20.0, 60.0):
         live = wanted.reshape(n, SLOTS).any(axis=1)[every_row]
         h, ln_w, row = every_h[live], np.log(every_w[live]), every_row[live]
@@ -189,7 +149,7 @@ def sample(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         under = np.flatnonzero((ln_a < np.log(bound) - ln_total[row[of]]) | (bound == 60))
         under = under[np.argsort(-ln_a[under], kind="stable")]  # the least is written last
         to = row[of[under]] * SLOTS + slot[under]
-        out[to] = mix(key[under] + t[under].astype(np.int64).astype(np.uint64) * _TERM, 6) >> _U(56)
+        out[to] = mix(key[under] + t[under].astype(np.int64).astype(np.uint64) * _TERM, 6) >> _U(64 - 8 * np.dtype(kind).itemsize)
         wanted[to] = False
     return out.reshape(n, SLOTS)
 

@@ -152,3 +152,22 @@ def test_keep_one_edges(spark):
     got = sorted((r.doc_id or -1 for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == [-1, -1, -1, 3, 4, 4, 5, 8]
     assert keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_links_are_exact_near_the_threshold(spark):
+    from gradeloom.llm.simhash import similar_documents
+
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for g in range(120):
+        n = int(rng.choice([40, 60, 200, 400]))
+        base = [f"w{j}" for j in rng.integers(0, 100_000, n)]
+        other = list(base)
+        similarity = rng.uniform(0.72, 0.92)
+        other[n - max(1, round((1 - similarity) / (1 + similarity) * (n - 4))) :] = [f"v{j}" for j in rng.integers(0, 100_000, max(1, round((1 - similarity) / (1 + similarity) * (n - 4))))]
+        if g % 3 == 0:
+            base = base + base[:14] * int(rng.integers(20, 100))  # repeats leave the set nearly as it is
+        a, b = shingle_set(" ".join(base)), shingle_set(" ".join(other))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if len(a & b) >= 0.8 * len(a | b) else 2 * g + 1}
+    assert 30 < sum(i == c for i, c in want.items() if i % 2) < 90
+    assert {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
