@@ -43,10 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 GROUPS = ("Physics (A)", "organic chem", "Law-1", "law 1", " - ")
 
 
-def records(spark: SparkSession, sf_dir: str, cap: int = 16) -> DataFrame:
-    """sample_id, gen_idx, score, parsed, grp, event_id, value: the first ``cap`` events of each user as generations."""
+def records(spark: SparkSession, sf_dir: str, cap: int | None = 16) -> DataFrame:
+    """sample_id, gen_idx, score, parsed, grp, event_id, value: the events of each user as generations, or the first ``cap``, as the SQL has it."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("gen_idx", F.row_number().over(w) - 1).where(F.col("gen_idx") < cap)
+    e = table(spark, sf_dir, "events").withColumn("gen_idx", F.row_number().over(w) - 1)
+    e = e if cap is None else e.where(F.col("gen_idx") < cap)
     group = F.element_at(F.array(*map(F.lit, GROUPS)), (F.col("user_id") % 5 + 1).cast("int"))
     return e.select(F.col("user_id").alias("sample_id"), "gen_idx", (F.col("event_type") == "purchase").cast("double").alias("score"), (F.col("value") > 10).alias("parsed"), group.alias("grp"), "event_id", "value")
 
@@ -110,7 +111,7 @@ def accuracy_by_group(spark, sf_dir):
 
 @query("binary_metrics")
 def binary_metrics(spark, sf_dir):
-    return rounded(M.binary_metrics(records(spark, sf_dir), parsed=F.col("parsed"), group=F.col("grp")))
+    return rounded(M.binary_metrics(records(spark, sf_dir, None), parsed=F.col("parsed"), group=F.col("grp")))
 
 
 @query(

@@ -50,3 +50,11 @@ def test_against_sql(spark, name):
     cols = sorted(got.columns)
     rows = lambda d: sorted(tuple(map(str, r)) for r in d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@needs_data
+def test_binary_metrics_see_every_event(spark):
+    got = {r.metric: r.value for r in entry.queries()["binary_metrics"](spark, str(DATA)).collect()}
+    con = duckdb.connect()
+    want = con.sql(f"SELECT avg(a), avg(p) FROM (SELECT avg(CAST(event_type = 'purchase' AS INT)) AS a, avg(CAST(value > 10 AS INT)) AS p FROM read_parquet('{DATA}/events.parquet') GROUP BY user_id)").df().iloc[0]
+    assert abs(got["accuracy"] - want.iloc[0]) < 1e-8 and abs(got["parsed_rate"] - want.iloc[1]) < 1e-8
