@@ -10,8 +10,9 @@ their entropies to the base of the number of pages give its importance:
 A branch of low importance repeats itself over the host's pages and is removed
 from each. Nodes under ``least`` pages have no say. Branches that are boilerplate
 by their meaning (navigation, footers, forms, adverts, comments, ...) go at any
-number of pages; the text inside ``article`` or ``main`` is never removed for
-repeating, as copied articles repeat as well.
+number of pages, but class words never take a wrapper that holds the page's only
+``article`` or ``main``. Importance decides inside and outside of these alike. Where
+a whole ``article`` or ``main`` repeats, it is a copied text and stays.
 
 Counts are by host and node with partial sums, so a hot host is spread over
 tasks; a page meets only the list of its host's low nodes. Spark broadcasts that
@@ -71,6 +72,7 @@ class Node:
     path: int
     main: bool
     noise: bool
+    weak: bool
     children: list[Node | str] = field(default_factory=list)
 
 
@@ -85,14 +87,15 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
     role = found.get("role", "").lower()
     name = ".".join([tag, *(re.sub(r"\d+", "0", m) for m in marks)])
     main = tag in MAIN or role in MAIN_NAMES
-    noise = tag in BOILERPLATE or tag in RAW or "hidden" in found or found.get("aria-hidden") == "true" or role in NOISE or (not main and bool(words & NOISE) and tag not in ("body", "html")) or (tag == "header" and not parent.main)
-    inside = parent.main and not noise
-    return Node(tag, name, _hash(f"{parent.path}>{name}"), main or inside, parent.noise or noise)
+    sure = tag in BOILERPLATE or tag in RAW or "hidden" in found or found.get("aria-hidden") == "true" or role in NOISE or (tag == "header" and not parent.main)
+    weak = not sure and not main and bool(words & NOISE) and tag not in ("body", "html")
+    inside = parent.main and not (sure or weak)
+    return Node(tag, name, _hash(f"{parent.path}>{name}"), main or inside, sure or weak, weak)
 
 
 def parse(page: str) -> Node:
     """The page as a tree; texts are decoded strings, ``<br>`` is a node."""
-    root = Node("", "", 0, False, False)
+    root = Node("", "", 0, False, False, False)
     stack, at = [root], 0
     m = TOKEN.search(page)
     while m:
@@ -125,43 +128,56 @@ def parse(page: str) -> Node:
         m = TOKEN.search(page, at)
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
+    if not _holders(root, False):
+        for node in _holders(root, True):
+            node.noise = False
     return root
 
 
-def texts(root: Node, low: frozenset[int] | set[int], only_main: bool) -> list[list[str]]:
+def _holders(root: Node, weak: bool) -> list[Node]:
+    """The nodes that hold a main element; ``weak``: also through nodes that only class words mark."""
+    out: dict[int, Node] = {}
+    order, up = [root], {id(root): None}
+    for node in order:
+        for c in node.children:
+            if not isinstance(c, str) and (not c.noise or (weak and c.weak)):
+                up[id(c)] = node
+                if c.main:
+                    above = node
+                    while above is not None and id(above) not in out:
+                        out[id(above)] = above
+                        above = up[id(above)]
+                else:
+                    order.append(c)
+    return list(out.values())
+
+
+def texts(root: Node, low: frozenset[int] | set[int]) -> list[list[str]]:
     """The blocks of a page in order: lists of strings to be joined; a block begins and ends with each block element."""
     blocks: list[list[str]] = [[]]
-    todo: list[tuple[Node | str | None, bool]] = [(c, False) for c in reversed(root.children)]
+    holders = {id(n) for n in _holders(root, False)} if low else set()
+    todo: list[tuple[Node | str | None, bool, bool]] = [(c, False, False) for c in reversed(root.children)]
     while todo:
-        node, main = todo.pop()
+        node, inside, copied = todo.pop()
         if node is None:
             blocks.append([])
         elif isinstance(node, str):
-            if main or not only_main:
-                blocks[-1].append(node)
-        elif not node.noise and (node.main or node.path not in low):
+            blocks[-1].append(node)
+        elif not node.noise:
+            first = node.main and not inside
+            if node.path in low and not (first or copied or id(node) in holders):
+                continue
             if node.tag not in INLINE:
                 blocks.append([])
-                todo.append((None, False))
-            todo += [(c, main or node.main) for c in reversed(node.children)]
+                todo.append((None, False, False))
+            state = inside or node.main, copied or (first and node.path in low)
+            todo += [(c, *state) for c in reversed(node.children)]
     return blocks
 
 
-def _has_main(root: Node) -> bool:
-    todo = [root]
-    while todo:
-        for c in todo.pop().children:
-            if not isinstance(c, str) and not c.noise:
-                if c.main:
-                    return True
-                todo.append(c)
-    return False
-
-
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page of a host with these low nodes; of pages with an article or main element, what that holds."""
-    root = parse(page)
-    return " ".join(t for b in texts(root, low, _has_main(root)) if (t := " ".join("".join(b).split())))
+    """The main text of a page of a host with these low nodes."""
+    return " ".join(t for b in texts(parse(page), low) if (t := " ".join("".join(b).split())))
 
 
 def page_nodes(page: str) -> list[tuple[int, int, int]]:
@@ -172,7 +188,8 @@ def page_nodes(page: str) -> list[tuple[int, int, int]]:
         order.append(node)
         todo += [c for c in node.children if not isinstance(c, str) and not c.noise]
     below: dict[int, int] = {}  # content by node: a hash over what is below it
-    out: dict[int, tuple[int, int, int]] = {}
+    looks: dict[int, list[str]] = {}
+    holds: dict[int, list[str]] = {}
     for node in reversed(order):
         parts, names = [], []
         for c in node.children:
@@ -183,9 +200,11 @@ def page_nodes(page: str) -> list[tuple[int, int, int]]:
                 parts.append(str(below[id(c)]))
                 names.append(c.name)
         below[id(node)] = _hash("\n".join(parts)) if parts else 0
-        if node.path and not node.main and node.tag not in INLINE and node.tag not in ("html", "body"):
-            out[node.path] = (node.path, _hash("|".join(dict.fromkeys(names))), below[id(node)])
-    return list(out.values())
+        if node.path and node.tag not in INLINE and node.tag not in ("html", "body"):
+            looks.setdefault(node.path, []).append("|".join(dict.fromkeys(names)))
+            holds.setdefault(node.path, []).append(str(below[id(node)]))
+    # nodes of one path stand or fall together, so all of them count
+    return [(k, _hash("||".join(dict.fromkeys(looks[k]))), _hash("\n".join(v))) for k, v in holds.items()]
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:

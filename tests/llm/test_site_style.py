@@ -73,3 +73,18 @@ def test_importance_against_brute_force(spark):
 
 def test_empty(spark):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_branches_inside_and_outside_of_articles(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for k, (_, story) in enumerate(site(rng, 40)):
+        rows += [
+            (k, f"http://a.example/{k}", f"<body><article><p>Staff</p><p>{story}</p><div class='box'>call us today</div></article></body>"),
+            (100 + k, f"http://b.example/{k}", f"<body><article class='card'><b>teaser</b></article><div class='text'><p>{story}</p></div></body>"),
+            (200 + k, f"http://c.example/{k}", f"<body><div class='layout has-sidebar'><div class='sidebar'>more</div><main><p>{story}</p></main></div></body>"),
+            (300 + k, f"http://d.example/{k}", "<body><div class='wrap'><article><p>the same story</p></article></div></body>"),
+        ]
+        want |= {k: f"Staff {story}", 100 + k: f"teaser {story}", 200 + k: story, 300 + k: "the same story"}
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
