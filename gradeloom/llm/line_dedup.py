@@ -3,9 +3,10 @@
 A run is a table of (hi, lo, n, last), sorted by the 128-bit line hash, with the
 number of documents that hold the line and the largest id among them. A batch of
 documents adds one run at level 0; when a level has ``fanout`` runs they are
-merged into one run of the next level. A batch is then merged with the runs and
-loses each line that the runs show in at least ``min_docs`` documents, but for
-the document with the largest id.
+merged into one run of the next level, by an aggregation. No batch is anti-joined
+with earlier runs, as a later batch can hold the largest id: once all batches are
+in, one join takes from all documents each line that the runs show in at least
+``min_docs`` of them, but for the document with the largest id.
 
 Line keys are the line without ``[\\x20\\x09-\\x0D]`` at both ends, with A-Z in
 lower case; keys under ``min_chars`` code points always stay.
