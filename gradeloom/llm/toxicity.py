@@ -243,7 +243,7 @@ def choose_entries(n1: dict[str, int], n0: dict[str, int], size1: int, size0: in
     return chosen
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = 20_000, support: float = 0.004, evidence: float = 30.0, precision: float = 0.7, max_voters: int = 96) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = 20_000, support: float = 0.004, evidence: float = 30.0, precision: float = 0.7) -> ToxicityModel:
     """Fit voters, label model and classifier. ``may_learn``: a condition on ``id_col`` of both tables.
 
     ``max_labelled`` bounds the sample, and with it what the driver holds;
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     least = max(5, int(support * size1))
     n1 = {r.entry: r.n for r in _counts(sample.where("y = 1"), None).where(F.col("n") >= least).collect()}
     n0 = {r.entry: r.n for r in _counts(sample.where("y = 0"), frozenset(n1)).collect()}
-    voters = Voters(choose_entries(n1, n0, size1, size0, least, evidence, precision)[:max_voters])
+    voters = Voters(choose_entries(n1, n0, size1, size0, least, evidence, precision))
 
     def voted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

@@ -78,3 +78,16 @@ def test_votes():
     assert names("so BAD") == ["=bad"] and names("vexla") == ["vexl*"] and names("vexla vexlo") == ["vexl*", "vexl**"]
     assert names("") == ["clean"] and "fixed" in names("you idiot") and "threat" in names("I will kill you")
     assert ToxicityModel.features(v, v.matrix([v.vote("bad vexla")])).shape[1] == len(v.names) + 2
+
+
+def test_no_lexicon_entry_is_cut(spark):
+    rng = random.Random(6)
+    bad = ["".join(rng.choice("bdfgkpvwxz") for _ in range(8)) for _ in range(130)]
+    docs = []
+    for i in range(6240):
+        words = ["".join(rng.choice("aeiostrnlm") for _ in range(5)) for _ in range(12)]
+        docs.append((i, " ".join(words[:6] + ([bad[i // 4 % 130]] if i % 4 == 0 else []) + words[6:]), int(i % 4 == 0)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    found = score(spark.createDataFrame([(k, f"rosti melon {w} tarne") for k, w in enumerate(set(bad))], "doc_id long, text string"), model).where("score >= 0.7").count()
+    assert found == len(set(bad))
