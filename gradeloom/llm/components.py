@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import materialize
+from gradeloom.llm.shared import lookup, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long); root is the component's smallest node.
+    """(node, root) for every node of ``edges`` (a, b: of one ordered type); root is the component's smallest node.
 
     Alternating large-star and small-star rounds: each keeps the components and
     moves edges to smaller neighbours, until a round changes nothing. A node's
-    neighbours are never collected; hubs meet in a partial minimum and a join
-    that can be split. Loops are dropped; an empty table gives an empty table.
+    neighbours are never collected: a partial minimum finds the smallest, and
+    ``lookup`` spreads the edges of hubs over all tasks. Loops are dropped; an
+    empty table gives an empty table.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    was = None
-    while True:
+    size, was = now.count(), None
+    while size:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
+        large = lookup(both, "a", low, "k", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = lookup(large, "a", low.withColumnRenamed("a", "k"), "k", 2 * size).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == was:
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == was:
             break
-        was = tuple(state)
+        was, size = state, state[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

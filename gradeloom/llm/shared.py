@@ -33,17 +33,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gradeloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors. ``by``: a column to lay folders out by."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with over one in so many rows is hot; by that there are at most so many hot keys.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, of: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (one row for each value of ``of``, with the number ``n`` of its rows; ``n`` and ``of`` are dropped).
+
+    ``total``: at least the number of rows. Keys with over ``total / HOT`` rows are at most ``HOT`` by that, so
+    they are broadcast and their rows stay where they are; the others are joined by a shuffle.
+    """
+    hot = table.where(F.col("n") * HOT > total)
+    own = F.col(key) == F.col(of)
+    spread = rows.join(F.broadcast(hot), own).drop("n", of)
+    cold = rows.join(F.broadcast(hot.select(of)), own, "left_anti").join(table.where(F.col("n") * HOT <= total), own).drop("n", of)
+    return spread.unionByName(cold)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Remove all intermediate tables of these operators from the shared folder; call it once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gradeloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/gradeloom")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,9 +10,10 @@ within the radius agree in at least b - r blocks, so each choice of b - r blocks
 gives a key, and no link is lost. b grows with the number of entries, so that a
 shard stays small. Trees are as large as the corpus together, so they have no
 bound to be broadcast under; trees and their queries are dealt to the tasks by
-key instead. Within a shard, entries already connected are not compared again:
-a subtree whose entries all belong to the searcher's component is skipped, and
-only a spanning set of links leaves the task.
+key instead, and a shard over a limit is cut (``shards``). Within a shard, entries
+already connected are not compared again: a subtree whose entries all belong to
+the searcher's component is skipped, and only a spanning chain of links leaves
+the task.
 
 ``similar_documents`` asks for a Jaccard similarity of the shingle sets instead
 of a distance in bits. Its shards are documents that agree in a band of a
@@ -42,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.components import connected_components
-from gradeloom.llm.shared import bounded_batches, materialize
+from gradeloom.llm.shards import link_shards
+from gradeloom.llm.shared import bounded_batches, lookup, materialize
 from gradeloom.llm.weighted_sampling import SLOTS, mix, sample, terms
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -197,38 +199,64 @@ def _cuts(radius: int, entries: int, per_shard: int) -> list[tuple[int, ...]]:
     return [tuple(c) for c in combinations(blocks, b - radius)]
 
 
-def link_entries(entries: DataFrame, radius: int, n: int, *, per_shard: int = 64, per_task: int = 200_000) -> DataFrame:
-    """(a, b): spanning links between entries (fp: distinct signed longs) within the radius."""
-    masks = [signed(sum(c)) for c in _cuts(radius, n, per_shard)]
-    keyed = entries.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("s")).select("s.i", "s.k", "fp")
-    tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-n * len(masks) // per_task))
+def _spanned(entry: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """(a, b): entries of one label as a chain, so that no entry has more than two links of a shard."""
+    order = np.argsort(label, kind="stable")
+    same = label[order][1:] == label[order][:-1]
+    return pa.RecordBatch.from_arrays([pa.array(entry[order[1:][same]]), pa.array(entry[order[:-1][same]])], ["a", "b"])
+
+
+def _shards(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of runs of equal rows in sorted columns."""
+    new = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.cumsum(new)])
+
+
+def _link_fingerprints(radius: int):
+    """A linker of (key, entry): the entries are fingerprints as signed longs."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(parts)
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        i, k, fp = (np.asarray(table.column(c)) for c in ("i", "k", "fp"))
-        order = np.lexsort((fp, k, i))
-        i, k, fp = i[order], k[order], fp[order]
-        shard = np.concatenate([[0], np.cumsum((i[1:] != i[:-1]) | (k[1:] != k[:-1]))])
-        label = BKForest(fp.view(np.uint64), shard, radius).connect()
-        linked = label != np.arange(len(fp))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], ["a", "b"])
+        if got:
+            table = pa.Table.from_batches(got)
+            key, fp = (np.asarray(table.column(c)) for c in ("key", "entry"))
+            order = np.lexsort((fp, key))
+            key, fp = key[order], fp[order]
+            yield _spanned(fp, BKForest(fp.view(np.uint64), _shards(key), radius).connect())
+
+    return run
+
+
+def link_entries(entries: DataFrame, radius: int, n: int, *, per_shard: int = 64, limit: int = 100_000, per_task: int = 200_000) -> DataFrame:
+    """(a, b): spanning links between entries (fp: distinct signed longs) within the radius."""
+    masks = [signed(sum(c)) for c in _cuts(radius, n, per_shard)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    return link_shards(entries.select(F.explode(keys).alias("key"), F.col("fp").alias("entry")), _link_fingerprints(radius), limit=limit, per_task=per_task)
 
-    return keyed.repartition(tasks, "i", "k").mapInArrow(run, "a bigint, b bigint")
+
+def _component_ids(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """(entry, component_id, n) from entries (entry, least, n) and links (a, b) between them.
+
+    The nodes are (no id, smallest id, entry), so a component's smallest node names the smallest id: nothing is
+    joined by component, however large one is. Links are chains, so no entry has many.
+    """
+    node = entries.select("entry", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("entry").alias("entry")).alias("node"))
+    a, b = node.toDF("ea", "na"), node.toDF("eb", "nb")
+    edges = links.join(a, F.col("a") == F.col("ea")).join(b, F.col("b") == F.col("eb")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    roots = connected_components(edges).select(F.col("node.entry").alias("of"), F.col("root.id").alias("component_id"))
+    return materialize(entries.join(roots, F.col("entry") == F.col("of"), "left").select("entry", F.when(F.col("of").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), "n"), "component-ids")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): each document with its fingerprint and the smallest id that links reach."""
     marked = materialize(fingerprints(docs, id_col, text_col, words=words), "simhash")
-    entries = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    n = entries.count()
-    roots = connected_components(link_entries(entries, radius, n))
-    named = entries.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = named.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return marked.join(member, F.col("fp") == F.col("of")).select(F.col("id").alias(id_col), "fp", "component_id")
+    entries = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "entries")
+    size = entries.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    links = link_entries(entries, radius, size.k)
+    member = _component_ids(entries.withColumnRenamed("fp", "entry"), links).withColumnRenamed("entry", "of")
+    return lookup(marked, "fp", member, "of", size.n or 0).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 BANDS, BAND_ROWS = 25, 5  # a pair at a similarity of 0.8 agrees in no band with a chance of 5e-5
@@ -289,7 +317,7 @@ def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _link_sets(radius: int, similarity: float, words: int):
-    """Of rows (group, entry, fp, sketch, text) of whole groups, (entry, root) by exact similarities."""
+    """A linker of (key, entry, fp, sketch, text) by exact similarities."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, sets = [], []
@@ -299,24 +327,24 @@ def _link_sets(radius: int, similarity: float, words: int):
         if not sets:
             return
         table = pa.concat_tables(cols)
-        group, entry, fp = (np.asarray(table.column(c)) for c in ("group", "entry", "fp"))
-        order = np.lexsort((entry, fp, group))
+        key, entry, fp = (np.asarray(table.column(c)) for c in ("key", "entry", "fp"))
+        order = np.lexsort((entry, fp, key))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)[order]
-        group, entry, fp, sets = group[order], entry[order], fp[order], [sets[i] for i in order]
-        shard = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
+        key, entry, fp, sets = key[order], entry[order], fp[order], [sets[i] for i in order]
 
         def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             out = _alike(sketch, a, b, similarity - MARGIN)
             out[out] = [similar_sets(sets[i], sets[j], similarity) for i, j in zip(a[out], b[out])]
             return out
 
-        label = BKForest(fp.view(np.uint64), shard, radius, same).connect()
-        yield pa.RecordBatch.from_arrays([pa.array(entry), pa.array(entry[label])], ["node", "root"])
+        yield _spanned(entry, BKForest(fp.view(np.uint64), _shards(key), radius, same).connect())
 
     return run
 
 
 def _link_sketches(radius: int, similarity: float):
+    """A linker of (key, entry, fp, sketch) by estimates."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(parts)
         if not got:
@@ -328,40 +356,35 @@ def _link_sketches(radius: int, similarity: float):
         order = np.lexsort((entry, digest, fp, key))
         key, entry, fp, digest = key[order], entry[order], fp[order], digest[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]) | (digest[1:] != digest[:-1])])
-        of = np.flatnonzero(new)[np.cumsum(new) - 1]  # entries that agree in all stand behind the first of them
-        twin_a, twin_b = entry[~new], entry[of[~new]]
-        key, entry, fp, sketch = key[new], entry[new], fp[new], sketch[order[new]]
-        shard = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        label = BKForest(fp.view(np.uint64), shard, radius, lambda a, b: _alike(sketch, a, b, similarity - MARGIN)).connect()
-        linked = label != np.arange(len(fp))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([entry[linked], twin_a])), pa.array(np.concatenate([entry[label[linked]], twin_b]))], ["a", "b"])
+        of = np.cumsum(new) - 1  # entries that agree in all stand behind the first of them
+        label = BKForest(fp[new].view(np.uint64), _shards(key[new]), radius, lambda a, b: _alike(sketch[order[new]], a, b, similarity - MARGIN)).connect()
+        yield _spanned(entry, label[of])
 
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, radius: int = 32, per_task: int = 200_000) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, radius: int = 32, per_task: int = 200_000, limit: int = 50_000, texts_limit: int = 500) -> DataFrame:
     """(id, component_id): documents whose sets of word shingles have at least this Jaccard similarity are linked.
 
     ``radius``: at a similarity of 0.8 a bit of the sets' fingerprints differs with a chance of at most a fifth, over 32 of 64 with one under 1e-7.
+    ``limit``, ``texts_limit``: the entries of a band, and of a group of candidates with their texts, that one task takes; larger ones are cut.
     """
     marked = materialize(sketches(docs, id_col, text_col, words), "sketches")
-    entries = materialize(marked.groupBy("entry").agg(F.min("id").alias("least"), F.first("h").alias("h"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "entries")
-    n = entries.count()
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n * BANDS // per_task))
+    entries = materialize(marked.groupBy("entry").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min_by(F.struct("h", "fp", "sketch", "bands"), "h").alias("s")).select("entry", "least", "n", "s.*"), "entries")
+    size = entries.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size.k * BANDS // per_task))
     keyed = entries.select(F.explode("bands").alias("key"), "entry").repartition(tasks, "key").mapInArrow(_repeated, "key bigint, entry bigint")
-    keyed = materialize(keyed, "bands")
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-keyed.count() // per_task))
-    shards = keyed.join(entries.select("entry", "fp", "sketch"), "entry").repartition(tasks, "key")
-    groups = connected_components(shards.mapInArrow(_link_sketches(radius, similarity), "a bigint, b bigint"))
-    groups = materialize(groups.join(entries.select("entry", "h", "fp", "sketch"), F.col("node") == F.col("entry")).select("h", F.col("root").alias("group"), "entry", "fp", "sketch"), "groups")
+    shards = materialize(materialize(keyed, "bands").join(entries.select("entry", "fp", "sketch"), "entry").select("key", "entry", "fp", "sketch"), "band-shards")
+    groups = connected_components(link_shards(shards, _link_sketches(radius, similarity), limit=limit, per_task=per_task))
+    groups = materialize(groups.join(entries.select("entry", "h", "fp", "sketch"), F.col("node") == F.col("entry")).select(F.col("h").alias("of"), F.col("root").alias("key"), "entry", "fp", "sketch"), "groups")
     text = F.col(text_col).cast("string")
-    found = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).join(groups, "h").dropDuplicates(["entry"]).select("group", "entry", "fp", "sketch", "text")
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-groups.count() // (per_task // 20)))
-    roots = materialize(found.repartition(tasks, "group").mapInArrow(_link_sets(radius, similarity, words), "node bigint, root bigint"), "roots")
-    named = entries.select("entry", "least").join(roots, F.col("entry") == F.col("node"), "left").select("entry", "least", F.coalesce("root", "entry").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = named.join(least, "root").select(F.col("entry").alias("of"), "component_id")
-    return marked.select("id", "entry").join(member, F.col("entry") == F.col("of")).select(F.col("id").alias(id_col), "component_id")
+    own = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    # one text for each entry: copies of a text are reduced before they meet
+    found = own.join(groups.select("of"), F.col("h") == F.col("of"), "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    found = materialize(found.join(groups, F.col("h") == F.col("of")).select("key", "entry", "fp", "sketch", "text"), "group-texts")
+    links = link_shards(found, _link_sets(radius, similarity, words), limit=texts_limit, per_task=max(1, per_task // 20))
+    member = _component_ids(entries.select("entry", "least", "n"), links).withColumnRenamed("entry", "of")
+    return lookup(marked.select("id", "entry"), "entry", member, "of", size.n or 0).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -7,7 +7,7 @@ WS = " \t\n\x0b\x0c\r"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute(rows):
+def brute(rows, min_docs=3):
     key = lambda x: x.strip(WS).translate(UPPER)
     held = defaultdict(list)
     for i, t in rows:
@@ -15,7 +15,7 @@ def brute(rows):
             if len(k) >= 20:
                 held[k].append(i)
     rank = lambda i: -1 if i is None else i
-    hot = {k: max(v, key=rank) for k, v in held.items() if len(v) >= 3}
+    hot = {k: max(v, key=rank) for k, v in held.items() if len(v) >= min_docs}
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -27,14 +27,17 @@ def brute(rows):
 def check(spark, rows, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in dedup_lines(df, **options).select("doc_id", "n_lines", "n_dropped", "text").collect()]
-    assert sorted(got, key=str) == brute(rows)
+    assert sorted(got, key=str) == brute(rows, options.get("min_docs", 3))
 
 
 def test_against_brute_force(spark):
     a, b, é = "A line that many pages share", "Another passage shared by several", "É" * 19 + "x"
     rows = [(i, "\n".join([f"own text {i}", f" {a}\t" if i % 2 else a.upper(), b if i % 3 == 0 else "short", "", é if i < 5 else "Z"])) for i in range(30)]
     check(spark, rows)
-    check(spark, rows, batches=9, fanout=2)
+    check(spark, rows, batches=5, fanout=2)
+    more = [(i, "\n".join(f"line number {i % k} of modulus {k}" for k in range(2, 20))) for i in range(40)]
+    for m in (5,):
+        check(spark, more, batches=4, fanout=2, min_docs=m)
 
 
 def test_edges(spark):
@@ -59,6 +62,24 @@ def test_runs_compact(spark):
     assert {(r.hi, r.n, r["last"]) for r in runs.lines().collect()} == {(k, 5 - k, 4) for k in range(5)}
 
 
+def test_each_batch_decides_with_the_runs(spark):
+    """Earlier documents lose a line when a later batch makes it frequent, or brings a larger id."""
+    runs = LineRuns(spark)
+    add = lambda ids: {r.id for r in runs.add(spark.createDataFrame([(1, 2, i) for i in ids], "hi long, lo long, id long")).collect()}
+    assert add([5]) == set() and add([3]) == set()
+    assert add([4]) == {3, 4}  # three documents: the largest keeps it
+    assert add([9, 7]) == {5, 7} and add([8]) == {8} and add([None]) == {None}
+    from pyspark.sql import functions as F
+
+    plan = runs.spark.table(runs.runs()[0]).alias("x").join(runs.spark.table(runs.runs()[-1]).alias("y"), [F.col("x.hi") == F.col("y.hi"), F.col("x.lo") == F.col("y.lo")])
+    runs.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        runs.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text and "Exchange" not in text and "Sort [" not in text
+
+
 def test_query_digest(spark, tmp_path):
     from gradeloom.llm.queries import op9_line_dedup
 

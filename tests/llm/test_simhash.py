@@ -171,3 +171,48 @@ def test_links_are_exact_near_the_threshold(spark):
         want |= {2 * g: 2 * g, 2 * g + 1: 2 * g if len(a & b) >= 0.8 * len(a | b) else 2 * g + 1}
     assert 30 < sum(i == c for i, c in want.items() if i % 2) < 90
     assert {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_large_shards_are_cut_without_loss(spark):
+    rng = np.random.default_rng(8)
+    fps = family(rng, 300, groups=3, flips=9)
+    entries = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    links = link_entries(entries, 4, len(fps), per_shard=1000, limit=25, per_task=60).collect()
+    label = {signed(f): signed(f) for f in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 64
+        label[root(a)] = root(b)
+    want = brute(list(enumerate(fps)), 4)
+    got = [root(signed(f)) for f in fps]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) > 1
+
+
+def test_large_candidate_groups_are_cut_without_loss(spark):
+    import random
+
+    from gradeloom.llm.simhash import similar_documents
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    label = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    want = [min(j for j in range(60) if label[j] == label[i]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar_documents(df, limit=20, texts_limit=9).collect()}
+    assert [got[i] for i in range(60)] == want and len(set(want)) > 3
