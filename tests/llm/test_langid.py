@@ -52,18 +52,35 @@ def test_expected_counts(table):
         for s, p in zip(segs, ps / ps.sum()):
             for x in s:
                 want[PIECES.index(x) if x in PIECES else len(PIECES)] += n * p
-    assert np.allclose(expected(Pieces(PIECES), table[:-1, 0], words, times), want)
+    assert np.allclose(expected(Pieces(PIECES), table[:-1, 0], words, times), want, atol=1e-5)
 
 
 def test_texts_are_sums_over_words(table):
-    s = Scorer(PIECES, table, most=3)
+    s = Scorer(Pieces(PIECES), table, most=3)
     long = "ab" * 60
     for _ in range(2):
         total, n = s.totals(["ab, AB a!", "", long + " b"])
         one = lambda w: forward(Pieces(PIECES), table, [w])[0]
-        assert n.tolist() == [3, 0, 2] and np.allclose(total[0], 2 * one("ab") + one("a")) and np.allclose(total[1], 0)
-        assert np.allclose(total[2], one(long[:40]) * 3 + one("b"))
-    assert words_of("Éa1b_c ß") == ["éa", "b", "c", "ß"]
+        assert n.tolist() == [3, 0, 2] and np.allclose(total[0], one("ab") + one("AB") + one("a")) and np.allclose(total[1], 0)
+        assert np.allclose(total[2], one(long) + one("b"))
+    assert words_of("Éa1b_c ß") == ["Éa", "b", "c", "ß"]
+
+
+def test_long_words_are_summed_whole(table):
+    """Words far beyond the range of doubles, against sums of logarithms."""
+    for word in ("ab" * 700, "x" * 900, "abba" * 25):
+        t, w = np.log(table[:-1, 0]), MARK + word
+        f = np.full(len(w) + 1, -np.inf)
+        f[0] = 0
+        for e in range(1, len(w) + 1):
+            for b in range(max(0, e - 3), e):
+                x = w[b:e]
+                if x in PIECES or e - b == 1:
+                    f[e] = np.logaddexp(f[e], f[b] + t[PIECES.index(x) if x in PIECES else len(PIECES)])
+        assert np.isclose(forward(Pieces(PIECES), table, [word])[0, 0], f[-1], rtol=1e-12)
+    long = expected(Pieces(PIECES), table[:-1, 0], ["ab" * 700], np.ones(1))
+    assert 700 < long.sum() < 1401 and np.isclose(long @ np.array([0, 1, 1, 1, 2, 2, 2, 2, 3, 1]), 1400, atol=1)
+    assert np.array_equal(long, np.rint(long * 2**24) / 2**24)
 
 
 def rows():
@@ -81,12 +98,15 @@ def test_held_out_accuracy_and_edges(spark):
     odd = [(1000, None, "xx"), (1001, "", None), (1002, "12 - 3", "yy"), (None, "ka to mi ka to mi", None), (1003, "ka " * 100_000, None), (1003, "ka " * 100_000, None)]
     docs = spark.createDataFrame([(*r, "x", 1) for r in data + odd], "doc_id long, text string, lang string, word string, piece int")
     vocab = vocabulary(tokenizer_file("piece_bpe_32k.model"))
-    assert 5000 < len(vocab) and all(p == p.lower() for p in vocab)
+    assert len(vocab) > 25_000 and max(map(len, vocab)) > 12
     langs, table = train(docs, vocab, not_held_out(F.col("doc_id")))
     assert langs == ["xx", "yy", "zz"] and np.allclose(table[:-2].sum(axis=0), 1)
     got = predict(docs, vocab, langs, table).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(data) + len(odd)
+    assert np.array_equal(train(docs.repartition(7), vocab, not_held_out(F.col("doc_id")))[1], table)  # to the last bit
+    with pytest.raises(ValueError):
+        train(docs, vocab, F.lit(True), most_langs=2)
     assert all(by[i].lang_pred == lang for i, _, lang in data if lang and zlib.crc32(str(i).encode()) % 3 == 1)
     assert [(by[i].lang_pred, by[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
     assert by[None].lang_pred == by[1003].lang_pred == "xx" and 0 <= by[None].score <= 1
