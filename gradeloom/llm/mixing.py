@@ -8,11 +8,12 @@ weight until none is above.
 Document rates minimise the relative entropy to the rate 1, taken over words,
 under the constraint that each source's words times rates equal its target. The
 convex dual has one multiplier a source, and the rate of a document is the
-exponential of its source's. Newton steps solve it: value and slope of the dual
-are sums over documents of words times rate, and as all documents of a source
-have one rate, the sources' words are enough to sum over. The dual falls apart
-by source, so a step is a projection of the source table, and all sources
-iterate at once, each until its step vanishes.
+exponential of its source's. Newton steps solve it: the gradient of the dual is the
+sum over documents of words times rate, less the target, its second derivative that
+sum itself, and mixed ones are zero, as no document has two sources. Each step sums
+over all documents, partially on each task, and moves every multiplier by gradient
+over curvature, by 2 at most; steps go on until no sum misses its target by more
+than the tolerance.
 
 Rates are rounded to copies: each document has the whole part of its rate, and a
 share of a source's documents one more: in the order of a hash, those that fit
@@ -20,8 +21,9 @@ into what is missing, until the next would exceed it. That is done ``passes``
 times with what is still missing and the documents without that extra copy; at
 last the smallest one left is added if that comes nearer to the target.
 
-All steps are DataFrame functions. Cumulative sums run over hash buckets of each
-source, so a hot source is spread over tasks.
+All steps are DataFrame functions. Cumulative sums run over ranges of the hash in
+each source, as many as the table's size asks for, so a hot source is spread over
+tasks; the result is the same for any number of ranges.
 
 Defined cases: a null text has size 0. Documents of size 0 are taken 0 words.
 Null sources are one source, the last. Repeated rows count as documents each,
@@ -45,11 +47,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def placed(sources: DataFrame) -> DataFrame:
+    """Adds ``place``: the position of each source from 0, null last, from a distributed sort."""
+    ordered = sources.orderBy(F.col("source").asc_nulls_last()).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    ordered = materialize(ordered, "mix-order")
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    begin = sizes.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("begin"))
+    return ordered.join(F.broadcast(begin), F.col("part") == F.col("of")).withColumn("place", F.col("begin") + F.col("row")).drop("part", "row", "of", "begin")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size); one row for each source, read once for each round of capping."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    ranked = materialize(sources.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))), "mix-sources")
+    place = F.pmod(F.col("place"), F.lit(len(weights)))
+    ranked = materialize(placed(sources).withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))).drop("place"), "mix-sources")
     cap = F.lit(float(most)) * F.col("source_size")
     whole = ranked.agg(F.sum("source_size").alias("s"), F.sum("w").alias("w")).first()
     if not whole.s:
@@ -66,15 +76,26 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return ranked.select("source", "source_size", F.least(F.col("w") * F.lit(level), cap).alias("target"))
 
 
-def balance(sources: DataFrame, steps: int = 64) -> DataFrame:
-    """Adds ``rate``: the exponential of the multiplier that solves each source's dual, by Newton steps from 0.
+def balance(rows: DataFrame, plan: DataFrame, *, tolerance: float = 1e-8, most_steps: int = 100) -> DataFrame:
+    """``plan`` (source, source_size, target) with ``rate``: the exponential of the multiplier that solves the dual over ``rows`` (source, size).
 
-    The slope of the dual is words * exp(m) - target, its second derivative words * exp(m).
+    ``tolerance``: of the last step that is still taken; Newton's error after it is about its square.
+    Where a target is 0 or its source has no words the rate is 0. Steps are far fewer than ``most_steps``; if they
+    aren't, that raises.
     """
-    size, target = F.col("source_size").cast("double"), F.col("target")
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda m, _: m - F.greatest(F.lit(-1.0), (size * F.exp(m) - target) / (size * F.exp(m))))
-    rate = F.when((size > 0) & (target > 0), F.exp(found)).otherwise(F.lit(0.0))
-    return sources.withColumn("rate", F.round(rate, 9))
+    open_ = (F.col("target") > 0) & (F.col("source_size") > 0)
+    now = plan.withColumn("m", F.lit(0.0))
+    for _ in range(most_steps):
+        own = now.where(open_).select(F.col("source").alias("of"), "m")
+        # the words at the present rates: the dual's curvature, and its gradient but for the target
+        words = rows.where("size > 0").join(own, F.col("source").eqNullSafe(F.col("of"))).groupBy("of").agg(F.sum(F.col("size") * F.exp("m")).alias("words"))
+        step = (F.col("words") - F.col("target")) / F.col("words")
+        moved = now.join(words, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", F.when(open_, F.col("m") - F.greatest(F.lit(-2.0), step)).alias("m"), F.abs(step).alias("missed"))
+        moved = materialize(moved, "mix-multipliers")
+        missed, now = moved.agg(F.max("missed")).first()[0], moved.drop("missed")
+        if missed is None or missed <= tolerance:
+            return now.select("source", "source_size", "target", F.round(F.when(open_, F.exp("m")).otherwise(F.lit(0.0)), 9).alias("rate"))
+    raise RuntimeError(f"no balance after {most_steps} steps: {missed}")
 
 
 def _gap(rows: DataFrame) -> DataFrame:
@@ -97,17 +118,18 @@ def _fill(rows: DataFrame) -> DataFrame:
     return placed.withColumn("more", more).drop("gap", "fit", "of", "k", "before", "inside")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, passes: int = 6, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, passes: int = 6, per_bucket: int = 50_000) -> DataFrame:
     """(id, size, source, source_size, target, copies, taken) for every document.
 
-    ``buckets``: into how many parts a source is cut for its cumulative sums.
+    ``per_bucket``: the rows of a range of the hash, over which cumulative sums run in one task.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     own = materialize(own.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "mix-docs")
     sized = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = materialize(balance(targets(sized, weights, most)), "mix-plan")
+    plan = balance(own, targets(sized, weights, most))
+    buckets = own.count() // per_bucket + 1
     plan = plan.select(F.col("source").alias("of"), "source_size", "target", F.floor("rate").alias("base"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("extra"))
-    b = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    b = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * buckets, 32)  # ranges in the hash's own order
     now = own.withColumn("b", b).join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("more", F.lit(False))
     for k in range(passes):
         now = materialize(_fill(now), "mix-taken")

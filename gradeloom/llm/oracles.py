@@ -32,8 +32,8 @@ FROM sized GROUP BY conv_id
 _FILL = """
 g{k} AS (SELECT source, any_value(extra) - coalesce(sum(size) FILTER (WHERE more), 0) AS gap FROM m{k} GROUP BY source),
 f{k} AS (SELECT m.*, g.gap, CASE WHEN NOT more AND extra > 0 AND size <= gap THEN size ELSE 0 END AS fit FROM m{k} m JOIN g{k} g ON m.source IS NOT DISTINCT FROM g.source),
-m{n} AS (SELECT doc_id, size, source, source_size, target, base, extra, h, b,
-           more OR (fit > 0 AND sum(fit) OVER (PARTITION BY source ORDER BY b, h, doc_id, size) <= gap) AS more FROM f{k}),"""
+m{n} AS (SELECT doc_id, size, source, source_size, target, base, extra, h,
+           more OR (fit > 0 AND sum(fit) OVER (PARTITION BY source ORDER BY h, doc_id, size) <= gap) AS more FROM f{k}),"""
 MIX = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
 sized AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n FROM docs GROUP BY source),
@@ -44,8 +44,7 @@ levels(step, level) AS (
   SELECT step + 1, (SELECT (sum(n) - 3 * coalesce(sum(n) FILTER (WHERE w * level > 3 * n), 0)) / sum(w) FILTER (WHERE w * level <= 3 * n) FROM ranked) FROM levels WHERE step < 40),
 plan AS (SELECT source, n, least(w * (SELECT max(level) FROM levels), 3 * n) AS target FROM ranked),
 rated AS (SELECT source, CAST(n AS BIGINT) AS source_size, target, CASE WHEN n > 0 THEN CAST(floor(round(target / n, 9)) AS BIGINT) ELSE 0 END AS base FROM plan),
-m0 AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.base, r.target - r.base * r.source_size AS extra, d.h,
-         CAST(('0x' || substr(d.h, 1, 8)) AS BIGINT) % 1024 AS b, false AS more FROM docs d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source),
+m0 AS (SELECT d.doc_id, d.size, d.source, r.source_size, r.target, r.base, r.target - r.base * r.source_size AS extra, d.h, false AS more FROM docs d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source),
 {"".join(_FILL.format(k=k, n=k + 1) for k in range(6))}
 gap AS (SELECT source, any_value(extra) - coalesce(sum(size) FILTER (WHERE more), 0) AS gap FROM m6 GROUP BY source),
 last AS (SELECT m.source, min(struct_pack(size := m.size, h := m.h, doc_id := m.doc_id)) AS pick, any_value(gap.gap) AS gap

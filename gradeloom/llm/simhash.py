@@ -389,6 +389,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group; rows of one id stay or go together; null ids stay where a group has no other."""
-    groups = similar_documents(docs, id_col, text_col, **options)
-    kept = materialize(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct(), "kept")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    groups = similar_documents(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", **options)
+    kept = materialize(groups.where(F.col("i").eqNullSafe(F.col("component_id"))).select("i").distinct(), "kept")
+    mark = "kept_" + max([*docs.columns, ""], key=len)  # longer than any column of the caller's
+    return docs.join(kept.withColumnRenamed("i", mark), F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{mark}`")), "left_semi")

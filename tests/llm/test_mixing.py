@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from gradeloom.llm.mixing import balance, mix, targets
+from gradeloom.llm.mixing import balance, mix, placed, targets
 
 
 def brute_targets(sizes):
@@ -29,8 +29,6 @@ def brute_copies(rows, target):
     rate = round(target / total, 9) if total and target else 0.0
     base, extra = math.floor(rate), target - math.floor(rate) * total
     order = sorted((hashlib.md5(str("" if i is None else i).encode()).hexdigest(), i, n) for i, n in rows)
-    bucket = lambda h: int(h[:8], 16) % 1024
-    order.sort(key=lambda r: (bucket(r[0]), r[0]))
     more = set()
     for _ in range(6):
         old, more = more, set(more)
@@ -75,9 +73,19 @@ def test_against_brute_force(spark, seed):
 
 
 def test_rates_solve_the_dual(spark):
-    rows = [("a", 100, 300.0), ("b", 1000, 1.0), ("c", 7, 7.0), ("d", 10**9, 1e-3), ("e", 0, 0.0), ("f", 5, 0.0)]
-    got = {r.source: r.rate for r in balance(spark.createDataFrame(rows, "source string, source_size long, target double")).collect()}
-    assert got["a"] == 3 and got["b"] == 0.001 and got["c"] == 1 and got["e"] == got["f"] == 0 and got["d"] < 1e-8
+    plan = [("a", 100, 300.0), ("b", 1000, 1.0), ("c", 7, 7.0), (None, 10**6, 1.0), ("e", 0, 0.0), ("f", 5, 0.0)]
+    docs = [("a", 60), ("a", 40), ("b", 999), ("b", 1), ("c", 7), (None, 10**6), ("e", 0), ("f", 5), ("a", 0)]
+    got = {r.source: r.rate for r in balance(spark.createDataFrame(docs, "source string, size long"), spark.createDataFrame(plan, "source string, source_size long, target double")).collect()}
+    assert got["a"] == 3 and got["b"] == 0.001 and got["c"] == 1 and got["e"] == got["f"] == 0 and got[None] == 1e-6
+
+
+def test_places_and_ranges(spark):
+    names = [None, *sorted(f"s{i % 89}-{i}" for i in range(300))]
+    df = spark.createDataFrame([(n, 1) for n in reversed(names)], "source string, source_size long").repartition(7)
+    assert {r.source: r.place for r in placed(df).collect()} == {n: i for i, n in enumerate([*names[1:], None])}
+    docs = spark.createDataFrame([(i, "w " * (i % 40), "ab"[i % 3 % 2]) for i in range(400)], "doc_id long, text string, source string")
+    one, many = (sorted(map(tuple, mix(docs, per_bucket=k).collect())) for k in (10**6, 7))
+    assert one == many
 
 
 def test_edges(spark):
