@@ -5,8 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gradeloom.llm.media import BASIS, ZIGZAG, Bits, Component, Decoder, decode_media, encode, inspect, pad, store
+from gradeloom.llm.media import BASIS, ZIGZAG, Bits, Codes, Component, Decoder, decode_media, encode, inspect, pad, store
 
 
 @pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 5000, 20_000])
@@ -45,7 +46,7 @@ def bits_of(text):
 
 def test_general_scans():
     """Runs of zeros, end-of-band runs and refinement with new coefficients, written out by hand."""
-    codes = {(1, 0): 0x21, (2, 2): 0x00, (3, 6): 0x10, (4, 14): 0xF0, (5, 30): 0x01}
+    codes = Codes({(1, 0): 0x21, (2, 2): 0x00, (3, 6): 0x10, (4, 14): 0xF0, (5, 30): 0x01})
     v = np.zeros(64, np.int16)
     assert Decoder._band(bits_of("0 1  10"), codes, v, 1, 20, 1, 0) == 0  # two zeros, then +1 at bit 1; end of band
     assert v[3] == 2 and np.count_nonzero(v) == 1
@@ -87,4 +88,52 @@ def test_documents(spark):
     assert out[4].feature == out[5].feature != out[3].feature
     tensors = {r.doc_id: r for r in decode_media(store(df)).collect()}
     assert len(tensors[6].rgb) == tensors[6].width * tensors[6].height * 3
+    assert tensors[6].rgb == Decoder(tensors[6].media).rgb().tobytes() and "n_bytes" in decode_media(store(df)).columns
+    with pytest.raises(ValueError):
+        decode_media(store(df).withColumn("rgb", F.lit(1)))
     assert inspect(store(df.limit(0))).collect() == []
+
+
+def independent(spark, media):
+    """The picture as the decoder of the Java runtime sees it."""
+    jvm = spark._jvm
+    img = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(media))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(img, "bmp", out)
+    raw = bytes(out.toByteArray())
+    w, h = (int.from_bytes(raw[k : k + 4], "little") for k in (18, 22))
+    rows = np.frombuffer(raw, np.uint8, offset=int.from_bytes(raw[10:14], "little")).reshape(h, -1)
+    return rows[::-1, : 3 * w].reshape(h, w, 3)[:, :, ::-1]
+
+
+def luma(rgb):
+    return rgb.astype(float) @ np.array([0.299, 0.587, 0.114])
+
+
+#: Progressive files of other encoders, where the machine has them.
+FOREIGN = [p for p in ("/usr/share/doc/nodejs/full-white-stripe.jpg", "/usr/share/doc/nodejs/thin-white-stripe.jpg") if os.path.exists(p)]
+
+
+@pytest.mark.skipif(not FOREIGN, reason="no foreign progressive file here")
+@pytest.mark.parametrize("path", FOREIGN)
+def test_foreign_files_against_an_independent_decoder(spark, path):
+    with open(path, "rb") as f:
+        media = f.read()
+    d = Decoder(media)
+    assert max(len(c) for c in d.codes.values()) > 2  # ordinary Huffman codes
+    want, got = independent(spark, media), d.rgb()
+    assert got.shape == want.shape
+    assert np.abs(luma(got) - luma(want)).mean() < 1 and np.abs(got.astype(int) - want).mean() < 3
+
+
+def test_another_decoder_reads_what_is_stored(spark):
+    """All of the picture's luma comes from the four luma blocks; chroma here is flat, so that no filter between pixels matters."""
+    units = np.zeros((2, 6, 48), np.uint8)  # the byte 0 is the coefficient -255, 255 is 255
+    units[:, :4] = 255
+    units[:, :4, 3:40] = np.random.default_rng(0).integers(128, 130, (2, 4, 37))
+    units[:, 4:] = 128
+    media = encode(units.tobytes())
+    d = Decoder(media)
+    want, got = independent(spark, media).astype(int), d.rgb().astype(int)
+    assert got.shape == want.shape == (16, 32, 3) and np.median(np.abs(got - want)) <= 2
+    assert Decoder(media, fast=False).payload() == units.tobytes()
