@@ -404,6 +404,7 @@ class Decoder:
         for c in self.components:
             used = 1 + int(np.flatnonzero(c.coefficients.any(axis=0))[-1]) if c.coefficients.any() else 1
             pixels = ((c.coefficients[:, :used] * self.quant[c.quant][:used]) @ BASIS[:used]).astype(np.float32)
+            np.clip(np.rint(pixels, out=pixels), -128, 127, out=pixels)  # samples are whole numbers of eight bits
             plane = pixels.reshape(c.height, c.width, 8, 8).transpose(0, 2, 1, 3).reshape(c.height * 8, c.width * 8)
             plane = plane.repeat(self.down // c.down, axis=0).repeat(self.across // c.across, axis=1)
             planes.append(plane[: self.height, : self.width])
