@@ -5,13 +5,16 @@ hold far more often than the others, and fixed lists of insults) and patterns
 (threats, direct insults, shouting, exclamations). A voter votes toxic or
 abstains; a text without any lexicon vote gets a vote for clean. A generative
 label model estimates each voter's rate given either label by expectation
-maximisation; labels count as one more voter of known accuracy. Correlations of
-voters given the label are estimated too: voters above a correlation are one
-factor, so they can't count twice. A linear classifier is trained on the
-posterior labels and scores every text.
+maximisation, over labelled and unlabelled texts. The given label is one more voter,
+which abstains where there is none; its two rates are estimated like the others',
+from a weak prior. Correlations of voters given the label are estimated too: voters
+above a correlation are one factor, and the evidence of a factor is divided by one
+plus its remaining correlations with the others, so none can count twice. A linear
+classifier is trained on the posterior labels and scores every text.
 
-The fit reads a bounded sample: ``max_labelled`` labelled rows in expectation,
-chosen by a hash of their ids, near copies once. Scoring reads all rows.
+The fit reads bounded samples: ``max_labelled`` labelled and ``max_unlabelled`` other
+rows in expectation, chosen by a hash of their ids, near copies once. Scoring reads
+all rows.
 
 Defined cases: a null or empty text is scored as a text without votes. Null
 labels and labels without a document are ignored; a document with several labels
@@ -114,20 +117,29 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """Rates of voters given the label, their correlation factors, and the posterior labels."""
+    """Rates of voters and of the given label, given the true label; the voters' correlation factors; the posterior labels.
+
+    ``label_accuracy`` and ``label_rows``: mean and weight, in rows, of the prior of the given label's rates.
+    """
 
     threshold: float = 0.5
+    slack: float = 0.1  # correlations up to here count as none
     label_accuracy: float = 0.97
+    label_rows: float = 20.0
     rounds: int = 25
 
     def fit(self, votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        n, m = votes.shape
+        """The probability of label 1 for each row; ``labels``: 1, 0, or -1 for none."""
+        given = labels >= 0
         q = np.where(labels > 0.5, self.label_accuracy, 1 - self.label_accuracy)
-        self.groups = [[j] for j in range(m)]
-        for _ in range(2):
-            self.correlation = self._conditional(votes, q)
-            self.groups = self._factors(self.correlation)
-            q = self._em(self.factors(votes), labels, q)
+        for k in range(3):
+            corr = self._conditional(votes[given], q[given])
+            self.groups = self._factors(corr)
+            x = self.factors(votes)
+            self.correlation = self._conditional(x[given], q[given])
+            others = np.maximum(self.correlation - np.diag(np.diag(self.correlation)) - self.slack, 0)
+            self.share = 1 / (1 + (others.sum(axis=1) if k else 0 * others[0]))  # the first posterior has the labels' own noise
+            q = self._em(x, labels, q, given)  # first rates from the labelled rows, then from all
         return q
 
     def factors(self, votes: np.ndarray) -> np.ndarray:
@@ -152,18 +164,33 @@ class LabelModel:
             out.append(group)
         return out
 
-    def _em(self, x: np.ndarray, labels: np.ndarray, q: np.ndarray) -> np.ndarray:
-        says = np.where(labels > 0.5, 1.0, -1.0) * np.log(self.label_accuracy / (1 - self.label_accuracy))
+    def maximise(self, x: np.ndarray, labels: np.ndarray, q: np.ndarray) -> None:
+        """Rates from posterior labels."""
+        given, said = labels >= 0, labels > 0.5
+        rate = lambda w, mean: (w @ said[given] + mean * self.label_rows) / (w.sum() + self.label_rows)
+        self.label_on1, self.label_on0 = rate(q[given], self.label_accuracy), rate(1 - q[given], 1 - self.label_accuracy)
+        self.prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
+        self.on1 = np.clip((q @ x + 0.1) / (q.sum() + 1), 1e-5, 1 - 1e-5)
+        self.on0 = np.clip(((1 - q) @ x + 0.1) / ((1 - q).sum() + 1), 1e-5, 1 - 1e-5)
+
+    def expect(self, x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Posterior labels from rates."""
+        says = np.where(labels > 0.5, np.log(self.label_on1 / self.label_on0), np.log((1 - self.label_on1) / (1 - self.label_on0)))
+        logit = np.log(self.prior / (1 - self.prior)) + np.where(labels >= 0, says, 0.0)
+        logit = logit + x @ (self.share * np.log(self.on1 / self.on0)) + (1 - x) @ (self.share * np.log((1 - self.on1) / (1 - self.on0)))
+        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+
+    def _em(self, x: np.ndarray, labels: np.ndarray, q: np.ndarray, given: np.ndarray) -> np.ndarray:
+        self.maximise(x[given], labels[given], q[given])
+        q = self.expect(x, labels)
         for _ in range(self.rounds):
-            self.prior = np.clip(q.mean(), 1e-4, 1 - 1e-4)
-            self.on1 = np.clip((q @ x + 0.1) / (q.sum() + 1), 1e-5, 1 - 1e-5)
-            self.on0 = np.clip(((1 - q) @ x + 0.1) / ((1 - q).sum() + 1), 1e-5, 1 - 1e-5)
-            logit = np.log(self.prior / (1 - self.prior)) + says + x @ np.log(self.on1 / self.on0) + (1 - x) @ np.log((1 - self.on1) / (1 - self.on0))
-            new = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
-            if np.abs(new - q).max() < 1e-6:
-                break
+            self.maximise(x, labels, q)
+            new = self.expect(x, labels)
+            done = np.abs(new - q).max() < 1e-6
             q = new
-        return new
+            if done:
+                break
+        return q
 
 
 def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -207,8 +234,9 @@ def default_model() -> ToxicityModel:
 
 
 def _near_copy_key(words: list[str]) -> int:
+    """The same for most near copies: the least hashes of the shingles under three seeds, so that a shared passage alone rarely makes one."""
     shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    return min(xxhash.xxh64_intdigest(s) for s in shingles) >> 1
+    return xxhash.xxh64_intdigest(repr([min(xxhash.xxh64_intdigest(s, seed) for s in shingles) for seed in range(3)])) >> 1
 
 
 def _counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
@@ -243,25 +271,29 @@ def choose_entries(n1: dict[str, int], n0: dict[str, int], size1: int, size0: in
     return chosen
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = 20_000, support: float = 0.004, evidence: float = 30.0, precision: float = 0.7) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = 20_000, max_unlabelled: int = 20_000, support: float = 0.004, evidence: float = 30.0, precision: float = 0.7) -> ToxicityModel:
     """Fit voters, label model and classifier. ``may_learn``: a condition on ``id_col`` of both tables.
 
-    ``max_labelled`` bounds the sample, and with it what the driver holds;
+    ``max_labelled`` and ``max_unlabelled`` bound the samples, and with them what the driver holds;
     ``support`` is the least share of toxic texts that hold a lexicon entry.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(may_learn).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias("y"))
     n = given.count()
-    part = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_labelled / max(n, 1))))
     own = docs.where(may_learn).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
+    def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1))))
+
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             keys = [_near_copy_key(WORD.findall(t.lower())) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["text", "y", "key"])
 
-    found = own.join(F.broadcast(part), "id").select("text", "y").mapInArrow(keyed, "text string, y int, key bigint")
+    some = sampled(own, own.count(), max_unlabelled).join(given, "id", "left_anti").select("text", F.lit(-1).alias("y"))
+    marked = own.join(F.broadcast(sampled(given, n, max_labelled)), "id").select("text", "y")
+    found = marked.unionByName(some).mapInArrow(keyed, "text string, y int, key bigint")
     sample = materialize(found.groupBy("key", "y").agg(F.min("text").alias("text")), "toxicity-sample")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     size1, size0 = sizes.get(1, 0), sizes.get(0, 0)

@@ -91,3 +91,33 @@ def test_no_lexicon_entry_is_cut(spark):
     model = train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
     found = score(spark.createDataFrame([(k, f"rosti melon {w} tarne") for k, w in enumerate(set(bad))], "doc_id long, text string"), model).where("score >= 0.7").count()
     assert found == len(set(bad))
+
+
+def test_label_model_against_brute_force():
+    """Rates of independent voters and of a noisy label, from labelled and unlabelled rows; one step against plain loops."""
+    rng = np.random.default_rng(4)
+    n, on1, on0 = 6000, np.array([0.7, 0.5, 0.3, 0.6]), np.array([0.02, 0.05, 0.01, 0.1])
+    y = rng.random(n) < 0.2
+    votes = (rng.random((n, 4)) < np.where(y[:, None], on1, on0)).astype(float)
+    labels = np.where(rng.random(n) < 0.5, rng.random(n) < np.where(y, 0.85, 0.06), -1).astype(int)
+    model = LabelModel()
+    q = model.fit(votes, labels)
+    assert model.groups == [[0], [1], [2], [3]] and np.abs(model.on1 - on1).max() < 0.06 and np.abs(model.on0 - on0).max() < 0.02
+    assert abs(model.label_on1 - 0.85) < 0.04 and abs(model.label_on0 - 0.06) < 0.02 and abs(model.prior - 0.2) < 0.02
+    assert ((q > 0.5) == y).mean() > 0.95
+    q = rng.random(200)
+    x, said = votes[:200], labels[:200]
+    model.maximise(x, said, q)
+    for j in range(4):
+        assert np.isclose(model.on1[j], (sum(a * b for a, b in zip(q, x[:, j])) + 0.1) / (sum(q) + 1))
+    own = [(a, b) for a, b in zip(q, said) if b >= 0]
+    assert np.isclose(model.label_on1, (sum(a for a, b in own if b) + 0.97 * 20) / (sum(a for a, _ in own) + 20))
+    got = model.expect(x, said)
+    for k in range(200):
+        a, b = model.prior, 1 - model.prior
+        if said[k] >= 0:
+            a, b = (a * model.label_on1, b * model.label_on0) if said[k] else (a * (1 - model.label_on1), b * (1 - model.label_on0))
+        for j in range(4):
+            p1, p0 = (model.on1[j], model.on0[j]) if x[k, j] else (1 - model.on1[j], 1 - model.on0[j])
+            a, b = a * p1 ** model.share[j], b * p0 ** model.share[j]
+        assert np.isclose(got[k], a / (a + b))
