@@ -3,6 +3,13 @@
 Each stage takes the table that the stage before it has kept, with the columns
 of ``documents``, and returns what it keeps of it; the last returns packed
 pieces. Every stage reads all rows and whole texts.
+
+Defined cases, for each stage: an empty table gives an empty table. A null text is
+an empty one; null ids and sources are kept as such. Repeated rows are documents
+each. Ties are broken as the operators say (the largest id keeps a line, the
+smallest id stands for near copies, hashes of ids order the mix); rows of one id
+stay or go together in near_dedup. Other columns pass through whatever their names,
+up to packing, which returns its own.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ from gradeloom.session import share_code
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.7."""
+    """Documents that score under 0.7, a null or empty text by its lack of votes; without usable labels the fixed lists decide."""
     share_code(spark)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return drop_toxic(docs, train(docs.select("doc_id", "text"), labels, not_held_out(F.col("doc_id"))))
@@ -37,18 +44,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates: five words, similarity of 0.8."""
+    """The document with the smallest doc_id of each group of near duplicates: five words, similarity of 0.8; texts without words are copies of each other."""
     share_code(spark)
     return keep_one(docs, words=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: up to three times, or not at all; documents without words are not taken."""
     share_code(spark)
-    plan = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).where("__copies > 0").distinct()
-    own = docs.withColumn("__n", n_words(F.col("text")))
-    hit = own.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    return hit.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    plan = mix(docs).where("copies > 0").select(F.struct("doc_id", "source", "size").alias("key"), "copies").distinct()
+    own = docs.select(F.struct("*").alias("doc"), F.struct("doc_id", "source", n_words(F.col("text")).alias("size")).alias("own"))
+    hit = own.join(plan, F.col("own").eqNullSafe(F.col("key")))
+    return hit.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
