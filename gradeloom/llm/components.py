@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import lookup, materialize
+from gradeloom.llm.shared import materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,21 +13,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each keeps the components and
     moves edges to smaller neighbours, until a round changes nothing. A node's
-    neighbours are never collected: a partial minimum finds the smallest, and
-    ``lookup`` spreads the edges of hubs over all tasks. Loops are dropped; an
-    empty table gives an empty table.
+    neighbours are never collected: a partial minimum finds the smallest and is
+    written, so that its join with the edges is an ordinary one, which Spark splits at
+    hubs or broadcasts if it is small. Loops are dropped; an empty table gives an
+    empty table.
     """
+
+    def smallest(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), "neighbours")
+
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    size, was = now.count(), None
-    while size:
+    was = None
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"), "n")
-        large = lookup(both, "a", low, "k", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = lookup(large, "a", low.withColumnRenamed("a", "k"), "k", 2 * size).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        low = smallest(both).select("k", F.least("k", "m").alias("m"))
+        large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialize(large.distinct(), "edges")
+        low = smallest(large)
+        small = large.join(low, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = materialize(small.unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == was:
+        if state == was or not state[0]:
             break
-        was, size = state, state[0]
+        was = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

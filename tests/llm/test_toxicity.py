@@ -105,9 +105,11 @@ def test_label_model_against_brute_force():
     assert model.groups == [[0], [1], [2], [3]] and np.abs(model.on1 - on1).max() < 0.06 and np.abs(model.on0 - on0).max() < 0.02
     assert abs(model.label_on1 - 0.85) < 0.04 and abs(model.label_on0 - 0.06) < 0.02 and abs(model.prior - 0.2) < 0.02
     assert ((q > 0.5) == y).mean() > 0.95
+    twice = LabelModel().fit(np.vstack([votes[:500], votes[:500]]), np.concatenate([labels[:500]] * 2))
+    assert np.allclose(LabelModel().fit(votes[:500], labels[:500], np.full(500, 2.0)), twice[:500])
     q = rng.random(200)
     x, said = votes[:200], labels[:200]
-    model.maximise(x, said, q)
+    model.maximise(x, said, q, np.ones(200))
     for j in range(4):
         assert np.isclose(model.on1[j], (sum(a * b for a, b in zip(q, x[:, j])) + 0.1) / (sum(q) + 1))
     own = [(a, b) for a, b in zip(q, said) if b >= 0]
