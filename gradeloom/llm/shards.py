@@ -39,8 +39,8 @@ def _dealt(rows: DataFrame, columns: list[str], n: int, per_task: int, linker: L
     return rows.select(*columns).repartition(tasks, "key").mapInArrow(linker, f"a {kind}, b {kind}")
 
 
-def link_shards(rows: DataFrame, linker: Linker, *, limit: int, per_task: int) -> DataFrame:
-    """(a, b): links that span what ``linker`` would link in whole shards of ``rows`` (key: long, entry, ...).
+def link_shards(rows: DataFrame, linker: Linker, *, limit: int, per_task: int) -> tuple[DataFrame, bool]:
+    """(a, b): links that span what ``linker`` would link in whole shards of ``rows`` (key: long, entry, ...); whether all shards stayed whole.
 
     ``rows`` should be a written table, as it is read more than once.
     """
@@ -48,7 +48,7 @@ def link_shards(rows: DataFrame, linker: Linker, *, limit: int, per_task: int) -
     sizes = rows.groupBy("key").agg(F.count("*").alias("size"))
     found = sizes.agg(F.sum("size").alias("n"), F.sum(F.when(F.col("size") > limit, F.col("size"))).alias("hot")).first()
     if not found.hot:
-        return _dealt(rows, columns, found.n or 0, per_task, linker)
+        return _dealt(rows, columns, found.n or 0, per_task, linker), True
     # there are fewer large shards than rows / limit; Spark broadcasts the list if it is small, else splits skewed keys
     large = materialize(sizes.where(F.col("size") > limit).select(F.col("key").alias("of"), _parts(F.col("size"), limit).alias("parts")), "large-shards")
     small = _dealt(rows.join(large, F.col("key") == F.col("of"), "left_anti"), columns, found.n - found.hot, per_task, linker)
@@ -78,7 +78,7 @@ def link_shards(rows: DataFrame, linker: Linker, *, limit: int, per_task: int) -
     rest = materialize(rest, "rest")
     n_rest = rest.count()
     if not n_rest:
-        return small.unionByName(links)
+        return small.unionByName(links), False
     open_ = cut.join(best.where("open").select("of", "blocks"), F.col("key") == F.col("of")).drop("of")
     block = F.pmod(F.xxhash64("entry", F.lit(3)), F.col("blocks"))
     hosts = open_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -86,4 +86,4 @@ def link_shards(rows: DataFrame, linker: Linker, *, limit: int, per_task: int) -
     guests = guests.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select(*hosts.columns)
     n = hosts.count() + guests.count()
     met = linked(hosts.unionByName(guests), F.struct("chunk", "block"), n, "links-of-rest")
-    return small.unionByName(links).unionByName(met)
+    return small.unionByName(links).unionByName(met), False

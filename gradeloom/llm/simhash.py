@@ -233,7 +233,7 @@ def link_entries(entries: DataFrame, radius: int, n: int, *, per_shard: int = 64
     """(a, b): spanning links between entries (fp: distinct signed longs) within the radius."""
     masks = [signed(sum(c)) for c in _cuts(radius, n, per_shard)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    return link_shards(entries.select(F.explode(keys).alias("key"), F.col("fp").alias("entry")), _link_fingerprints(radius), limit=limit, per_task=per_task)
+    return link_shards(entries.select(F.explode(keys).alias("key"), F.col("fp").alias("entry")), _link_fingerprints(radius), limit=limit, per_task=per_task)[0]
 
 
 def _component_ids(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _link_sets(radius: int, similarity: float, words: int):
-    """A linker of (key, entry, fp, sketch, text) by exact similarities."""
+    """A linker of (key, entry, fp, sketch, text) by exact similarities; each entry is linked to the first of its component."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols, sets = [], []
@@ -337,7 +337,9 @@ def _link_sets(radius: int, similarity: float, words: int):
             out[out] = [similar_sets(sets[i], sets[j], similarity) for i, j in zip(a[out], b[out])]
             return out
 
-        yield _spanned(entry, BKForest(fp.view(np.uint64), _shards(key), radius, same).connect())
+        label = BKForest(fp.view(np.uint64), _shards(key), radius, same).connect()
+        linked = label != np.arange(len(entry))
+        yield pa.RecordBatch.from_arrays([pa.array(entry[linked]), pa.array(entry[label[linked]])], ["a", "b"])
 
     return run
 
@@ -363,7 +365,7 @@ def _link_sketches(radius: int, similarity: float):
     return run
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, radius: int = 32, per_task: int = 200_000, limit: int = 50_000, texts_limit: int = 500) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, radius: int = 32, per_task: int = 200_000, limit: int = 50_000, texts_limit: int = 5000) -> DataFrame:
     """(id, component_id): documents whose sets of word shingles have at least this Jaccard similarity are linked.
 
     ``radius``: at a similarity of 0.8 a bit of the sets' fingerprints differs with a chance of at most a fifth, over 32 of 64 with one under 1e-7.
@@ -375,15 +377,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size.k * BANDS // per_task))
     keyed = entries.select(F.explode("bands").alias("key"), "entry").repartition(tasks, "key").mapInArrow(_repeated, "key bigint, entry bigint")
     shards = materialize(materialize(keyed, "bands").join(entries.select("entry", "fp", "sketch"), "entry").select("key", "entry", "fp", "sketch"), "band-shards")
-    groups = connected_components(link_shards(shards, _link_sketches(radius, similarity), limit=limit, per_task=per_task))
+    groups = connected_components(link_shards(shards, _link_sketches(radius, similarity), limit=limit, per_task=per_task)[0])
     groups = materialize(groups.join(entries.select("entry", "h", "fp", "sketch"), F.col("node") == F.col("entry")).select(F.col("h").alias("of"), F.col("root").alias("key"), "entry", "fp", "sketch"), "groups")
     text = F.col(text_col).cast("string")
     own = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
     # one text for each entry: copies of a text are reduced before they meet
     found = own.join(groups.select("of"), F.col("h") == F.col("of"), "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     found = materialize(found.join(groups, F.col("h") == F.col("of")).select("key", "entry", "fp", "sketch", "text"), "group-texts")
-    links = link_shards(found, _link_sets(radius, similarity, words), limit=texts_limit, per_task=max(1, per_task // 20))
-    member = _component_ids(entries.select("entry", "least", "n"), links).withColumnRenamed("entry", "of")
+    links, whole = link_shards(found, _link_sets(radius, similarity, words), limit=texts_limit, per_task=max(1, per_task // 20))
+    if whole:  # an entry has one group, so what links in it are whole components already
+        roots = materialize(links.toDF("node", "root"), "roots")
+        named = entries.select("entry", "least", "n").join(roots, F.col("entry") == F.col("node"), "left").select("entry", "least", F.col("n").alias("rows"), F.coalesce("root", "entry").alias("root"))
+        least = materialize(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+        member = materialize(lookup(named, "root", least, "r", size.k).select(F.col("entry").alias("of"), "component_id", F.col("rows").alias("n")), "component-ids")
+    else:
+        member = _component_ids(entries.select("entry", "least", "n"), links).withColumnRenamed("entry", "of")
     return lookup(marked.select("id", "entry"), "entry", member, "of", size.n or 0).select(F.col("id").alias(id_col), "component_id")
 
 
