@@ -35,18 +35,26 @@ def ladder(text: Column, steps: Sequence[tuple[str, Column | str]], group: int =
     return value, method
 
 
-def choice_ladder(letters: str = "ABCD") -> list[tuple[str, str]]:
-    letter = rf"(?<![A-Za-z0-9])\(?([{letters}])\)?(?![A-Za-z0-9])"
-    return [(name, "(?iUd)" + p.format(L=letter)) for name, p in CHOICE_ANCHORS]
+def _filled(pattern: str, letters: str | Column) -> str | Column:
+    """The pattern with the letters for ``{letters}``: a text, or a column if the letters are one."""
+    if isinstance(letters, str):
+        return pattern.replace("{letters}", letters)
+    parts = pattern.split("{letters}")
+    return F.concat(*[x for i, part in enumerate(parts) for x in ([letters] if i else []) + [F.lit(part)]])
 
 
-def extract_choice(text: Column, letters: str = "ABCD") -> tuple[Column, Column]:
+def choice_ladder(letters: str | Column = "ABCD") -> list[tuple[str, str | Column]]:
+    letter = r"(?<![A-Za-z0-9])\(?([{letters}])\)?(?![A-Za-z0-9])"
+    return [(name, _filled("(?iUd)" + p.format(L=letter), letters)) for name, p in CHOICE_ANCHORS]
+
+
+def extract_choice(text: Column, letters: str | Column = "ABCD") -> tuple[Column, Column]:
     """(letter, method) from the last 1,000 characters; the letter is null if no anchor matches."""
     value, method = ladder(tail(text), choice_ladder(letters))
     return F.upper(value), method
 
 
-def score_choice(text: Column, gold: Column, letters: str = "ABCD") -> Column:
+def score_choice(text: Column, gold: Column, letters: str | Column = "ABCD") -> Column:
     """struct(score, is_pass, prediction, gold, extract_method)."""
     letter, method = extract_choice(text, letters)
     want = F.upper(strip(gold))
@@ -73,22 +81,22 @@ ANSWER_TEMPLATES = [
 ]
 
 
-def extract_template(text: Column, letters: str = "ABCDE") -> tuple[Column, Column, Column]:
+def extract_template(text: Column, letters: str | Column = "ABCDE") -> tuple[Column, Column, Column]:
     """(letter, method, format): format 1 for the exact sentence or the first template, 0.5 for others, 0.2 for a bare letter, 0 for none."""
-    answer = rf"\(?([{letters}])\)?"
-    steps = [("answer_format_regex", "(?Ud)" + EXACT_SENTENCE.format(letters=letters))]
+    answer = r"\(?([{letters}])\)?"
+    steps = [("answer_format_regex", _filled("(?Ud)" + EXACT_SENTENCE, letters))]
     scanned = tail(text)
     value, method = ladder(scanned, steps)
-    templates = [(f"template_{i}", "(?Ud)" + t.replace("($ANS$)", rf"(?:{answer})")) for i, t in enumerate(ANSWER_TEMPLATES)]
-    v2, m2 = ladder(scanned, [*templates, ("raw_answer_regex", "(?Ud)" + answer)])
+    templates = [(f"template_{i}", _filled("(?Ud)" + t.replace("($ANS$)", rf"(?:{answer})"), letters)) for i, t in enumerate(ANSWER_TEMPLATES)]
+    v2, m2 = ladder(scanned, [*templates, ("raw_answer_regex", _filled("(?Ud)" + answer, letters))])
     letter = F.upper(F.coalesce(value, v2))
     how = F.when(value.isNotNull(), method).otherwise(m2)
     form = F.when(how.isin("answer_format_regex", "template_0"), 1.0).when(how == "none", 0.0).when(how == "raw_answer_regex", 0.2).otherwise(0.5)
-    ok = F.instr(F.lit(letters), letter) > 0
+    ok = (F.lit(letters) if isinstance(letters, str) else letters).contains(letter)
     return F.when(ok, letter), how, form
 
 
-def score_template(text: Column, gold: Column, letters: str = "ABCDE") -> Column:
+def score_template(text: Column, gold: Column, letters: str | Column = "ABCDE") -> Column:
     letter, method, form = extract_template(text, letters)
     want = F.upper(strip(gold))
     hit = F.coalesce(letter == want, F.lit(False))
@@ -295,16 +303,20 @@ def boxed(text: str) -> list[str]:
     return out
 
 
+#: Longer numbers are compared as texts.
+MOST_DIGITS = 2000
+
+
 def canonical(answer: str) -> str:
     """A number as a reduced fraction, anything else without TeX spacing, in lower case."""
     a = re.sub(r"\\(?:left|right|,|;|!|\s|displaystyle|mathrm|text)|\$|\s|^\\\(|\\\)$", "", answer).strip(".")
     a = re.sub(r"\\[dt]?frac\{([^{}]+)\}\{([^{}]+)\}", r"(\1)/(\2)", a).replace("^\\circ", "").replace("\\%", "").replace("%", "")
     a = re.sub(r"\((-?\d+)\)", r"\1", a)
     m = re.fullmatch(r"([-+]?[\d,]*\.?\d+)(?:/([-+]?\d+))?", a)
-    if m:
-        value = Fraction(m[1].replace(",", "")) / Fraction(m[2] or 1) if m[2] not in ("0", "-0") else None
-        if value is not None:
-            return str(value)
+    if m and len(a) <= MOST_DIGITS:
+        below = Fraction(m[2] or 1)
+        if below:
+            return str(Fraction(m[1].replace(",", "")) / below)
     return a.strip("{}").lower()
 
 
@@ -322,8 +334,8 @@ def math_equal(a: str, b: str, digits: int = 6) -> bool:
     if a == b:
         return True
     try:
-        return round(float(Fraction(a)) - float(Fraction(b)), digits) == 0
-    except (ValueError, ZeroDivisionError):
+        return max(len(a), len(b)) <= 2 * MOST_DIGITS + 1 and round(Fraction(a) - Fraction(b), digits) == 0
+    except (ArithmeticError, ValueError):
         return False
 
 

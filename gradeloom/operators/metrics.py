@@ -7,6 +7,7 @@ a sample: one shuffle by sample, then a global partial sum.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -153,34 +154,32 @@ def grid_metrics(records: DataFrame, group: Column) -> DataFrame:
     return sums.select(pairs.alias("p")).select("p.metric", "p.value")
 
 
-#: Fixed values of the arithmetic resampling index: ((resample * A + draw * C + seed) mod P) mod n.
-LCG_A, LCG_C, LCG_P = 1103515245, 12345, 2147483647
+#: A uniform 32-bit value is a Poisson(1) draw of as many as it has of these bounds at or under it.
+POISSON = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 
 
-def bootstrap_mean(values: DataFrame, column: str, *, resamples: int = 1000, seed: int = 42, confidence: float = 0.95, arithmetic: bool = False) -> DataFrame:
+def bootstrap_mean(values: DataFrame, column: str, *, key: str = "sample_id", resamples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """One row (mean, stderr, ci_low, ci_high): percentile bootstrap of the mean, reproducible and distributed.
 
-    A draw is a hash of (seed, resample, draw) over the values' order (column, then
-    row), so no generator state is shared between tasks. Without values: zeros; with
-    one value or no resamples: that mean, no spread. ``arithmetic``: the index of the
-    SQL of ``bootstrap_ci``, whose resamples are no random samples and whose spread is
-    no standard error; only to be compared with that SQL.
+    Each resample weights each row by a Poisson(1) draw, read from a hash of (seed, resample, ``key``), and takes the
+    weighted mean: one pass with partial sums, a group for four resamples, and no table of draws. ``key`` must tell
+    the rows apart. Resamples without any row (for a few values only) don't count. Without values: zeros; with one
+    value or no resamples: that mean, no spread.
     """
-    base = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    base = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.col(key).cast("string").alias("k"))
     head = base.agg(F.count("*").alias("n"), mean(F.col("x")).alias("m")).first()
     spark = values.sparkSession
     if head.n <= 1 or resamples <= 0:
         return spark.createDataFrame([(float(head.m), 0.0, float(head.m), float(head.m))], "mean double, stderr double, ci_low double, ci_high double")
-    # equal values are one row with a range of ranks: the table is as large as there are different values
-    counts = base.groupBy("x").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x"))).select("x", (F.col("upto") - F.col("n")).alias("lo"), "upto")
-    draws = spark.range(resamples * head.n, numPartitions=max(8, resamples * head.n // 1_000_000)).select((F.col("id") / head.n).cast("bigint").alias("r"), (F.col("id") % head.n).alias("i"))
-    index = ((F.col("r") * LCG_A + F.col("i") * LCG_C + seed) % LCG_P) % head.n if arithmetic else F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), "r", "i"), F.lit(head.n))
-    hits = draws.select("r", index.alias("at")).groupBy("r", "at").agg(F.count("*").alias("times"))
-    drawn = hits.join(ranked, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("upto"))) if head.n > 100_000 else hits.join(F.broadcast(ranked.select("x", F.explode(F.sequence("lo", F.col("upto") - 1)).alias("at"))), "at")
-    means = drawn.groupBy("r").agg((F.sum(F.col("x") * F.col("times")) / head.n).alias("m"))
+    hashed = base.select("x", "k", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))).alias("b"))
+    hashed = hashed.select("x", "b", F.md5(F.concat_ws(":", F.lit(seed), "b", "k").cast("binary")).alias("h"))
+    weights = []
+    for j in range(4):
+        u = F.conv(F.substring("h", 8 * j + 1, 8), 16, 10).cast("bigint")
+        weights.append(sum(((u >= bound).cast("int") for bound in POISSON), F.lit(0)).alias(f"w{j}"))
+    sums = hashed.select("x", "b", *weights).groupBy("b").agg(*[F.array(F.sum(f"w{j}").cast("double"), F.sum(F.col(f"w{j}") * F.col("x"))).alias(f"s{j}") for j in range(4)])
+    each = sums.select("b", F.posexplode(F.array(*[f"s{j}" for j in range(4)])).alias("j", "s")).where((F.col("b") * 4 + F.col("j") < resamples) & (F.col("s")[0] > 0))
+    means = each.select((F.col("s")[1] / F.col("s")[0]).alias("m"))
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
     return means.agg(F.lit(float(head.m)).alias("mean"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("stderr"), F.percentile("m", lo).alias("ci_low"), F.percentile("m", hi).alias("ci_high"))
 

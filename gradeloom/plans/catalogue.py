@@ -43,20 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 GROUPS = ("Physics (A)", "organic chem", "Law-1", "law 1", " - ")
 
 
-def records(spark: SparkSession, sf_dir: str, cap: int | None = 16) -> DataFrame:
-    """sample_id, gen_idx, score, parsed, grp, event_id, value: the events of each user as generations, or the first ``cap``, as the SQL has it."""
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, gen_idx, score, parsed, grp, event_id, value: all events of each user as generations."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").withColumn("gen_idx", F.row_number().over(w) - 1)
-    e = e if cap is None else e.where(F.col("gen_idx") < cap)
     group = F.element_at(F.array(*map(F.lit, GROUPS)), (F.col("user_id") % 5 + 1).cast("int"))
     return e.select(F.col("user_id").alias("sample_id"), "gen_idx", (F.col("event_type") == "purchase").cast("double").alias("score"), (F.col("value") > 10).alias("parsed"), group.alias("grp"), "event_id", "value")
 
 
-def _records(cap: int = 16) -> str:
+def _records() -> str:
     names = ", ".join(f"'{g}'" for g in GROUPS)
     return f"""records AS (SELECT user_id AS sample_id, CAST(g AS INT) AS gen_idx, CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
       value > 10 AS parsed, ([{names}])[user_id % 5 + 1] AS grp, event_id, value
-      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS g FROM events) WHERE g < {cap})"""
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS g FROM events))"""
 
 
 RECORDS = _records()
@@ -82,23 +81,23 @@ def accuracy_stderr(spark, sf_dir):
     return rounded(M.accuracy(M.per_sample(records(spark, sf_dir), parsed=F.col("parsed"))))
 
 
-def _pass_sql(cap: int, ks: tuple[int, ...]) -> str:
+def _pass_sql(ks: tuple[int, ...]) -> str:
     values = ", ".join(f"({k})" for k in ks)
-    return f"""WITH {_records(cap)}, {SAMPLES}, ks(k) AS (VALUES {values}), least_n AS (SELECT min(n) AS m FROM samples),
+    return f"""WITH {RECORDS}, {SAMPLES}, ks(k) AS (VALUES {values}), least_n AS (SELECT min(n) AS m FROM samples),
     p AS (SELECT k, CASE WHEN c = 0 THEN 0.0 WHEN n - c < k THEN 1.0 ELSE 1.0 - (SELECT product(1.0 - k / CAST(i AS DOUBLE)) FROM range(CAST(n - c + 1 AS BIGINT), CAST(n + 1 AS BIGINT)) t(i)) END AS p
           FROM samples, ks, least_n WHERE k = 1 OR k <= m),
     g AS (SELECT k, avg(p) AS v, {ERR.format(x='p')} AS e FROM p GROUP BY k)
     SELECT 'pass@' || k AS metric, round(v, 9) AS value FROM g UNION ALL SELECT 'pass@' || k || '_stderr', round(e, 9) FROM g"""
 
 
-@query("pass_at_k", _pass_sql(16, (1, 2, 4, 8, 16)))
+@query("pass_at_k", _pass_sql((1, 2, 4, 8, 16)))
 def pass_at_k(spark, sf_dir):
     return rounded(M.pass_metrics(M.per_sample(records(spark, sf_dir)), [1, 2, 4, 8, 16]))
 
 
-@query("pass_k_gate", _pass_sql(60, (1, 2, 32, 60)))
+@query("pass_k_gate", _pass_sql((1, 2, 32, 60)))
 def pass_k_gate(spark, sf_dir):
-    return rounded(M.pass_metrics(M.per_sample(records(spark, sf_dir, 60)), [2, 32, 60]))
+    return rounded(M.pass_metrics(M.per_sample(records(spark, sf_dir)), [2, 32, 60]))
 
 
 SLUG = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -111,7 +110,7 @@ def accuracy_by_group(spark, sf_dir):
 
 @query("binary_metrics")
 def binary_metrics(spark, sf_dir):
-    return rounded(M.binary_metrics(records(spark, sf_dir, None), parsed=F.col("parsed"), group=F.col("grp")))
+    return rounded(M.binary_metrics(records(spark, sf_dir), parsed=F.col("parsed"), group=F.col("grp")))
 
 
 @query(
@@ -175,32 +174,35 @@ def primary_aggregate(spark, sf_dir):
     return M.primary_aggregate(M.primary_metric(task_metrics(spark, sf_dir))).select(F.round("primary_mean", 9).alias("primary_mean"), "num_tasks")
 
 
+_WEIGHT = " + ".join(f"CAST(v >= {bound} AS INT)" for bound in M.POISSON)
+
+
 @query(
     "bootstrap_ci",
-    f"""WITH {RECORDS}, {SAMPLES}, v AS (SELECT acc AS x, row_number() OVER (ORDER BY acc) - 1 AS at, count(*) OVER () AS n FROM samples),
-    d AS (SELECT r, ((r * {M.LCG_A} + i * {M.LCG_C} + 42) % {M.LCG_P}) % n AS at FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range(n)) AS i, n FROM (SELECT count(*) AS n FROM samples))),
-    m AS (SELECT r, avg(x) AS m FROM d JOIN v ON d.at = v.at GROUP BY r)
+    f"""WITH {RECORDS}, {SAMPLES}, d AS (SELECT b, acc AS x, md5('42:' || b || ':' || sample_id) AS h FROM samples, range(250) t(b)),
+    w AS (SELECT b, j, x, {_WEIGHT} AS w FROM (SELECT b, j, x, CAST('0x' || substr(h, CAST(8 * j + 1 AS INT), 8) AS BIGINT) AS v FROM d, range(4) s(j))),
+    m AS (SELECT sum(w * x) / sum(w) AS m FROM w GROUP BY b, j HAVING sum(w) > 0)
     SELECT (SELECT round(avg(acc), 9) FROM samples) AS mean, round(stddev_samp(m), 9) AS stderr, round(quantile_cont(m, 0.025), 9) AS ci_low, round(quantile_cont(m, 0.975), 9) AS ci_high FROM m""",
 )
 def bootstrap_ci(spark, sf_dir):
     s = M.per_sample(records(spark, sf_dir))
-    return M.bootstrap_mean(s, "acc", resamples=200, arithmetic=True).select(*[F.round(c, 9).alias(c) for c in ("mean", "stderr", "ci_low", "ci_high")])
+    return M.bootstrap_mean(s, "acc").select(*[F.round(c, 9).alias(c) for c in ("mean", "stderr", "ci_low", "ci_high")])
 
 
 # --- planning ---------------------------------------------------------------------------
 
 
-@query("grid_pending", f"WITH {RECORDS} SELECT u AS sample_id, CAST(g AS INT) AS gen_idx FROM (SELECT DISTINCT user_id AS u FROM events), range(20) t(g) EXCEPT SELECT sample_id, gen_idx FROM records WHERE parsed")
+@query("grid_pending", f"WITH {RECORDS} SELECT u AS sample_id, CAST(g AS INT) AS gen_idx FROM (SELECT DISTINCT user_id AS u FROM events), range(100) t(g) EXCEPT SELECT sample_id, gen_idx FROM records WHERE parsed")
 def grid_pending(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id")).distinct()
     done = records(spark, sf_dir).where("parsed")
-    return P.pending(samples, done, 20)
+    return P.pending(samples, done, 100)
 
 
-@query("pending_by_sample", f"WITH {RECORDS}, p AS (SELECT u, g FROM (SELECT DISTINCT user_id AS u FROM events), range(20) t(g) EXCEPT SELECT sample_id, gen_idx FROM records) SELECT u AS sample_id, string_agg(g, ',' ORDER BY g) AS missing, CAST(count(*) AS INT) AS num_generations FROM p GROUP BY u")
+@query("pending_by_sample", f"WITH {RECORDS}, p AS (SELECT u, g FROM (SELECT DISTINCT user_id AS u FROM events), range(100) t(g) EXCEPT SELECT sample_id, gen_idx FROM records) SELECT u AS sample_id, string_agg(g, ',' ORDER BY g) AS missing, CAST(count(*) AS INT) AS num_generations FROM p GROUP BY u")
 def pending_by_sample(spark, sf_dir):
     samples = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id")).distinct()
-    return P.pending_by_sample(P.pending(samples, records(spark, sf_dir), 20)).select("sample_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "num_generations")
+    return P.pending_by_sample(P.pending(samples, records(spark, sf_dir), 100)).select("sample_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"), "num_generations")
 
 
 @query("resume_filter", f"WITH {RECORDS} SELECT sample_id, gen_idx, score FROM records WHERE gen_idx BETWEEN 0 AND 7 AND sample_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

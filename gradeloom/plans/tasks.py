@@ -44,6 +44,7 @@ class Task:
 
 
 TASKS: dict[str, Task] = {}
+#: The tasks' default settings.
 GREEDY = {"n": 1, "max_new_tokens": 4096, "temperature": 0.0, "top_p": 1.0}
 SAMPLED = {"max_new_tokens": 4096, "temperature": 1.0, "top_p": 0.7}
 CODE = {"n": 10, "max_new_tokens": 4096, "temperature": 0.6, "top_p": 0.95}
@@ -112,14 +113,8 @@ def _choice_task(name: str, more: str, group: str | None, prompt: Callable[[Colu
     def score(rows: DataFrame) -> DataFrame:
         text, gold = F.coalesce("generation", F.lit("")), F.col("gold")
         f = X.score_template if wide else X.score_choice
-        # letters differ by sample: one expression for each number of options that tasks have
-        size = F.size("choices")
-        options = range(2, 11) if least == 2 else (4,)
-        out = None
-        for n in options:
-            r = f(text, gold, LETTERS[:n])
-            out = F.when(size == n, r) if out is None else out.when(size == n, r)
-        return _scored(rows, out)
+        letters = F.substring(F.lit(LETTERS), F.lit(1), F.size("choices")) if least == 2 else LETTERS[:4]  # of the row's own options
+        return _scored(rows, f(text, gold, letters))
 
     def aggregate(records: DataFrame, options: dict) -> DataFrame:
         flag = F.length(F.coalesce(parsed("prediction"), F.lit(""))) > 0

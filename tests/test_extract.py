@@ -105,3 +105,24 @@ def test_text(spark):
     assert one(spark, T.strip(F.col("t")), t="\n  a b\t") == "a b"
     assert one(spark, T.words(F.col("t")), t="naïve café_1, 2") == ["naïve", "café_1", "2"]
     assert one(spark, T.collapse(F.col("t")), t=" A  b\nC ") == "a b c"
+
+
+def test_scorers_never_raise():
+    """Huge numbers, odd arguments and zero divisors are scored, not raised."""
+    from gradeloom.functions import instructions_python as P
+
+    assert X.canonical("9" * 5000) == "9" * 5000 and not X.math_equal("9" * 400, "1") and not X.math_equal("9" * 6000, "1")
+    assert X.canonical("1/0") == "1/0" and not X.math_equal("1/0", "1")
+    assert X.math_equal("1/3", "0.33333333")
+    assert P.follow("words:keywords_specific_position", "a b.", '{"keyword": "a", "n": -3, "m": 1}') is False
+    assert P.follow("words:keywords_specific_position", "a b.", "[1]") is None and P.follow("sentence:keyword", "a", '{"word": [], "N": {}}') is None
+
+
+def test_letters_of_the_row(spark):
+    df = spark.createDataFrame([("Final answer: M", "ABCDEFGHIJKLM"), ("Final answer: M", "ABCD"), ("The answer is (B).", "AB")], "t string, letters string")
+    from pyspark.sql import functions as F
+
+    got = [r.p for r in df.select(X.extract_choice(F.col("t"), F.col("letters"))[0].alias("p")).collect()]
+    assert got == ["M", None, "B"]
+    got = [r.p for r in df.select(X.extract_template(F.col("t"), F.col("letters"))[0].alias("p")).collect()]
+    assert got[0] == "M" and got[2] == "B"

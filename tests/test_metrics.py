@@ -74,7 +74,7 @@ def test_first_record_rule(spark):
 
 
 def test_bootstrap(spark):
-    values = spark.createDataFrame([(x,) for x in [0.0, 1.0, 1.0, 0.0]], "x double")
+    values = spark.createDataFrame(list(enumerate([0.0, 1.0, 1.0, 0.0])), "sample_id int, x double")
     r = M.bootstrap_mean(values, "x", resamples=500, seed=0).first()
     assert r.mean == 0.5 and r.stderr >= 0 and r.ci_low <= r.mean <= r.ci_high
     assert tuple(M.bootstrap_mean(values.limit(0), "x").first()) == (0.0, 0.0, 0.0, 0.0)
@@ -99,9 +99,9 @@ def test_aliases_and_tiers(spark):
 
 def test_bootstrap_spread_is_the_standard_error(spark):
     for n in (15, 151, 1501, 7919):
-        x = [(float((k * 37) % n % 16),) for k in range(n)]
-        r = M.bootstrap_mean(spark.createDataFrame(x, "x double"), "x", resamples=400, seed=3).first()
-        m = sum(v for v, in x) / n
-        true = (sum((v - m) ** 2 for v, in x) / n / n) ** 0.5
+        x = [(k, float((k * 37) % n % 16)) for k in range(n)]
+        r = M.bootstrap_mean(spark.createDataFrame(x, "sample_id long, x double"), "x", resamples=400, seed=3).first()
+        m = sum(v for _, v in x) / n
+        true = (sum((v - m) ** 2 for _, v in x) / n / n) ** 0.5
         assert abs(r.stderr / true - 1) < 0.15 and abs(r["mean"] - m) < 1e-9
         assert abs((r.ci_high - r.ci_low) / (2 * 1.96 * true) - 1) < 0.25
