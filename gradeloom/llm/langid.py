@@ -172,17 +172,23 @@ def expected(pieces: Pieces, p: np.ndarray, words: list[str], times: np.ndarray)
                 alpha[s] = 1
             for k, word, piece in arcs[s]:
                 alpha[s + k, word] += alpha[s, word] * p[piece]
+        short = size <= RESCALE  # never rescaled
         for s in reversed(range(size)):
             for k, word, piece in arcs[s]:
-                beta[s, word] += p[piece] * beta[s + k, word] * np.exp(log_b[s + k, word] - log_b[s, word])
+                step = p[piece] * beta[s + k, word]
+                beta[s, word] += step if short else step * np.exp(log_b[s + k, word] - log_b[s, word])
             if s and s % RESCALE == 0:
                 log_b[: s + 1] += np.log(beta[s])
                 beta[s] = 1
         total = np.log(alpha[size]) + log_a[size]
+        weight = times[at] / alpha[size]
+        found, shares = [], []
         for s in range(size):
             for k, word, piece in arcs[s]:
-                share = alpha[s, word] * p[piece] * beta[s + k, word] * np.exp(log_a[s, word] + log_b[s + k, word] - total[word])
-                np.add.at(counts, piece, np.rint(share * times[at][word] / GRID) * GRID)
+                share = alpha[s, word] * p[piece] * beta[s + k, word]
+                shares.append(share * weight[word] if short else share * times[at][word] * np.exp(log_a[s, word] + log_b[s + k, word] - total[word]))
+                found.append(piece)
+        counts += np.bincount(np.concatenate(found), np.rint(np.concatenate(shares) / GRID) * GRID, len(p))
     return counts
 
 
