@@ -319,104 +319,6 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     return ToxicityModel(voters, fit_linear(ToxicityModel.features(voters, votes), q, times))
 
 
-def score(self, texts: list[str]) -> np.ndarray:
-        x = self.features(self.voters, self.voters.matrix([self.voters.vote(t) for t in texts]))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
-
-
-def default_model() -> ToxicityModel:
-    """The fixed lists alone: a text with an entry scores 0.9, another 0.05."""
-    voters = Voters()
-    weights = np.zeros(len(voters.names) + 3)
-    weights[-1] = np.log(0.05 / 0.95)
-    weights[len(voters.names)] = np.log(0.9 / 0.1) - weights[-1]
-    return ToxicityModel(voters, weights)
-
-
-def _near_copy_key(words: list[str]) -> int:
-    """The same for most near copies: the least hashes of the shingles under three seeds, so that a shared passage alone rarely makes one."""
-    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    return xxhash.xxh64_intdigest(repr([min(xxhash.xxh64_intdigest(s, seed) for s in shingles) for seed in range(3)])) >> 1
-
-
-def _counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """(entry, n): in how many texts a lexicon candidate occurs."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            n: Counter[str] = Counter()
-            for text in part.column(0).to_pylist():
-                own = entries_of(set(WORD.findall(text.lower())))
-                n.update(own if among is None else own & among)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n.keys()), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
-
-    return rows.select("text").mapInArrow(run, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
-
-
-def choose_entries(n1: dict[str, int], n0: dict[str, int], size1: int, size0: int, least: int, evidence: float, precision: float) -> list[str]:
-    """Candidates with a log-likelihood ratio of ``evidence`` and a share of toxic texts of ``precision``, best first; of nested ones the best alone."""
-    base = size1 / (size1 + size0)
-
-    def ratio(a: int, b: int) -> float:
-        n = a + b
-        return 2 * (a * np.log(a / (n * base)) + (b * np.log(b / (n * (1 - base))) if b else 0.0))
-
-    good = [(ratio(n, n0.get(e, 0)), e) for e, n in n1.items() if n >= least and n >= precision * (n + n0.get(e, 0)) and n * size0 > n0.get(e, 0) * size1]
-    chosen, taken = [], []
-    for g, e in sorted(good, key=lambda x: (-x[0], -len(x[1]), x[1])):
-        word = e.strip("=*")
-        if g >= evidence and not any(word.startswith(t) or t.startswith(word) for t in taken):
-            chosen.append(e)
-            taken.append(word)
-    return chosen
-
-
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labelled: int = 20_000, max_unlabelled: int = 20_000, support: float = 0.004, evidence: float = 30.0, precision: float = 0.7) -> ToxicityModel:
-    """Fit voters, label model and classifier. ``may_learn``: a condition on ``id_col`` of both tables.
-
-    ``max_labelled`` and ``max_unlabelled`` bound the samples, and with them what the driver holds;
-    ``support`` is the least share of toxic texts that hold a lexicon entry.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(may_learn).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias("y"))
-    n = given.count()
-    own = docs.where(may_learn).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-    def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-        return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1))))
-
-    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            keys = [_near_copy_key(WORD.findall(t.lower())) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["text", "y", "key"])
-
-    some = sampled(own, own.count(), max_unlabelled).join(given, "id", "left_anti").select("text", F.lit(-1).alias("y"))
-    marked = own.join(F.broadcast(sampled(given, n, max_labelled)), "id").select("text", "y")
-    found = marked.unionByName(some).mapInArrow(keyed, "text string, y int, key bigint")
-    sample = materialize(found.groupBy("key", "y").agg(F.min("text").alias("text")), "toxicity-sample")
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    size1, size0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not size1 or not size0:
-        return default_model()
-    least = max(5, int(support * size1))
-    n1 = {r.entry: r.n for r in _counts(sample.where("y = 1"), None).where(F.col("n") >= least).collect()}
-    n0 = {r.entry: r.n for r in _counts(sample.where("y = 0"), frozenset(n1)).collect()}
-    voters = Voters(choose_entries(n1, n0, size1, size0, least, evidence, precision))
-
-    def voted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            votes = pa.array([voters.vote(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([votes, b.column(1)], ["votes", "y"])
-
-    table = sample.select("text", "y").mapInArrow(voted, "votes array<int>, y int").groupBy("votes", "y").agg(F.count("*").alias("n")).orderBy("votes", "y").toArrow()
-    votes = voters.matrix(table.column("votes").to_pylist())
-    times = np.asarray(table.column("n"))
-    votes, y = np.repeat(votes, times, axis=0), np.repeat(np.asarray(table.column("y")), times)
-    q = LabelModel().fit(votes, y)
-    return ToxicityModel(voters, fit_linear(ToxicityModel.features(voters, votes), q))
-
-
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row."""
     bounded_batches(docs.sparkSession)
