@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import bounded_batches, fresh_path, lookup, materialize, remove
+from gradeloom.llm.shared import Scratch, bounded_batches, fresh_path, lookup, materialize, remove
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -163,13 +163,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = materialize(occurrences(docs, id_col, text_col, min_chars, batches), "line-occurrences", by="batch")
-    runs = LineRuns(spark, fanout, min_docs=min_docs, buckets=max(spark.sparkContext.defaultParallelism, found.count() // (batches * 2_000_000)))
-    lost = None
-    for b in range(batches):
-        own = runs.add(found.where(F.col("batch") == b))
-        lost = own if lost is None else lost.unionByName(own)
-    runs.clear()
+    with Scratch(spark) as scratch:
+        found = materialize(occurrences(docs, id_col, text_col, min_chars, batches), "line-occurrences", by="batch")
+        runs = LineRuns(spark, fanout, min_docs=min_docs, buckets=max(spark.sparkContext.defaultParallelism, found.count() // (batches * 2_000_000)))
+        lost = None
+        for b in range(batches):
+            own = scratch.keep(runs.add(found.where(F.col("batch") == b)))
+            lost = own if lost is None else lost.unionByName(own)
+        runs.clear()
     doomed = lost.groupBy("id").agg(F.collect_set("hi").alias("doomed"))
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(carry)])
     joined = own.join(doomed, F.col("__id").eqNullSafe(F.col("id")), "left").drop("id")

@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import materialize
+from gradeloom.llm.shared import Scratch, discard, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -84,7 +84,7 @@ def balance(rows: DataFrame, plan: DataFrame, *, tolerance: float = 1e-8, most_s
     aren't, that raises.
     """
     open_ = (F.col("target") > 0) & (F.col("source_size") > 0)
-    now = plan.withColumn("m", F.lit(0.0))
+    now = table = plan.withColumn("m", F.lit(0.0))
     for _ in range(most_steps):
         own = now.where(open_).select(F.col("source").alias("of"), "m")
         # the words at the present rates: the dual's curvature, and its gradient but for the target
@@ -92,7 +92,8 @@ def balance(rows: DataFrame, plan: DataFrame, *, tolerance: float = 1e-8, most_s
         step = (F.col("words") - F.col("target")) / F.col("words")
         moved = now.join(words, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", F.when(open_, F.col("m") - F.greatest(F.lit(-2.0), step)).alias("m"), F.abs(step).alias("missed"))
         moved = materialize(moved, "mix-multipliers")
-        missed, now = moved.agg(F.max("missed")).first()[0], moved.drop("missed")
+        discard(table)
+        missed, now, table = moved.agg(F.max("missed")).first()[0], moved.drop("missed"), moved
         if missed is None or missed <= tolerance:
             return now.select("source", "source_size", "target", F.round(F.when(open_, F.exp("m")).otherwise(F.lit(0.0)), 9).alias("rate"))
     raise RuntimeError(f"no balance after {most_steps} steps: {missed}")
@@ -123,16 +124,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``per_bucket``: the rows of a range of the hash, over which cumulative sums run in one task.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    own = materialize(own.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "mix-docs")
-    sized = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = balance(own, targets(sized, weights, most))
-    buckets = own.count() // per_bucket + 1
-    plan = plan.select(F.col("source").alias("of"), "source_size", "target", F.floor("rate").alias("base"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("extra"))
-    b = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * buckets, 32)  # ranges in the hash's own order
-    now = own.withColumn("b", b).join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("more", F.lit(False))
-    for k in range(passes):
-        now = materialize(_fill(now), "mix-taken")
+    with Scratch(docs.sparkSession) as scratch:
+        own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+        own = materialize(own.withColumn("h", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))), "mix-docs")
+        sized = own.groupBy("source").agg(F.sum("size").alias("source_size"))
+        plan = balance(own, targets(sized, weights, most))
+        buckets = own.count() // per_bucket + 1
+        plan = plan.select(F.col("source").alias("of"), "source_size", "target", F.floor("rate").alias("base"), (F.col("target") - F.floor("rate") * F.col("source_size")).alias("extra"))
+        b = F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * buckets, 32)  # ranges in the hash's own order
+        now = own.withColumn("b", b).join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("more", F.lit(False))
+        for k in range(passes):
+            before, now = now, materialize(_fill(now), "mix-taken")
+            discard(before)
+        now = scratch.keep(now if passes else materialize(now, "mix-taken"))
     gap = _gap(now)
     last = now.where((~F.col("more")) & (F.col("size") > 0) & (F.col("extra") > 0)).join(gap, F.col("source").eqNullSafe(F.col("of")))
     last = last.groupBy("of").agg(F.min(F.struct("size", "h", "id")).alias("pick"), F.first("gap").alias("gap")).where(F.col("pick.size") < 2 * F.col("gap")).drop("gap")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,47 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors. ``by``: a column to lay folders out by."""
     path = fresh_path(df.sparkSession, name)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if _OPEN.get():
+        _OPEN.get().paths.append(path)
+    return out
+
+
+class Scratch:
+    """``with Scratch(spark) as scratch``: tables materialized inside are removed at its end, but those given to ``keep``.
+
+    What stays must be a written table, so that nothing which is removed is ever read again, not by a recovery either.
+    After an error all tables stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.append(table.written_to)
+        return table
+
+    def __enter__(self) -> Scratch:
+        self.token = _OPEN.set(self)
+        return self
+
+    def __exit__(self, error: type | None, *_) -> None:
+        _OPEN.reset(self.token)
+        if _OPEN.get():
+            _OPEN.get().paths += self.paths if error else self.kept
+        if not error:
+            for path in set(self.paths) - set(self.kept):
+                remove(self.spark, path)
+
+
+_OPEN: ContextVar[Scratch | None] = ContextVar("open scratch", default=None)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a materialized table that nothing reads any more; others are left alone."""
+    if hasattr(table, "written_to"):
+        remove(table.sparkSession, table.written_to)
 
 
 #: A key with over one in so many rows is hot; by that there are at most so many hot keys.

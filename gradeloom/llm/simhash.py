@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.components import connected_components
 from gradeloom.llm.shards import link_shards
-from gradeloom.llm.shared import bounded_batches, lookup, materialize
+from gradeloom.llm.shared import Scratch, bounded_batches, lookup, materialize
 from gradeloom.llm.weighted_sampling import SLOTS, mix, sample, terms
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -252,11 +252,12 @@ def _component_ids(entries: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, radius: int = 4) -> DataFrame:
     """(id, fp, component_id): each document with its fingerprint and the smallest id that links reach."""
     marked = materialize(fingerprints(docs, id_col, text_col, words=words), "simhash")
-    entries = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "entries")
-    size = entries.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    links = link_entries(entries, radius, size.k)
-    member = _component_ids(entries.withColumnRenamed("fp", "entry"), links).withColumnRenamed("entry", "of")
-    return lookup(marked, "fp", member, "of", size.n or 0).select(F.col("id").alias(id_col), "fp", "component_id")
+    with Scratch(docs.sparkSession) as scratch:
+        entries = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "entries")
+        size = entries.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+        links = link_entries(entries, radius, size.k)
+        member = scratch.keep(_component_ids(entries.withColumnRenamed("fp", "entry"), links))
+    return lookup(marked, "fp", member.withColumnRenamed("entry", "of"), "of", size.n or 0).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 BANDS, BAND_ROWS = 25, 5  # a pair at a similarity of 0.8 agrees in no band with a chance of 5e-5
@@ -397,7 +398,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group; rows of one id stay or go together; null ids stay where a group has no other."""
-    groups = similar_documents(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", **options)
-    kept = materialize(groups.where(F.col("i").eqNullSafe(F.col("component_id"))).select("i").distinct(), "kept")
+    with Scratch(docs.sparkSession) as scratch:
+        groups = similar_documents(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), "i", "t", **options)
+        kept = scratch.keep(materialize(groups.where(F.col("i").eqNullSafe(F.col("component_id"))).select("i").distinct(), "kept"))
     mark = "kept_" + max([*docs.columns, ""], key=len)  # longer than any column of the caller's
     return docs.join(kept.withColumnRenamed("i", mark), F.col(f"`{id_col}`").eqNullSafe(F.col(f"`{mark}`")), "left_semi")

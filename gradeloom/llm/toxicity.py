@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.shared import bounded_batches, materialize
+from gradeloom.llm.shared import bounded_batches, discard, materialize
 
 WORD = re.compile(r"\w+")
 #: Common insults by language.
@@ -301,6 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     size1, size0 = sizes.get(1, 0), sizes.get(0, 0)
     if not size1 or not size0:
+        discard(sample)
         return default_model()
     least = max(5, int(support * size1))
     n1 = {r.entry: r.n for r in _counts(sample.where("y = 1"), None).where(F.col("n") >= least).collect()}
@@ -313,6 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
             yield pa.RecordBatch.from_arrays([votes, b.column(1)], ["votes", "y"])
 
     table = sample.select("text", "y").mapInArrow(voted, "votes array<int>, y int").groupBy("votes", "y").agg(F.count("*").alias("n")).orderBy("votes", "y").toArrow()
+    discard(sample)
     votes = voters.matrix(table.column("votes").to_pylist())  # different votes only, with their times
     times, y = np.asarray(table.column("n")).astype(float), np.asarray(table.column("y"))
     q = LabelModel().fit(votes, y, times)
