@@ -12,6 +12,8 @@ estimates the similarity.
 As a >= v / w with v = c exp(-r), a term is only looked at in the slots where v
 is small: its slots arrive in the order of v, and the search ends once each slot
 has an a that no later arrival can beat. No draw that could win is left out.
+Draws don't depend on weights, so they are made once for all texts of a block
+that hold the term, as a text, its edited text and the one before it mostly do.
 
 Defined cases: a null text is empty. Texts without words have the fingerprint of
 zeros; their likeness to each other is 1, to any other text 0. Ids are whole
@@ -24,7 +26,6 @@ empty table. Columns other than the id and the text are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.shared import bounded_batches
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SLOTS, SHINGLE = 128, 5
 _U = np.uint64
 
@@ -43,9 +43,12 @@ _U = np.uint64
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit finaliser with multiplications and shifts."""
     x = x + _U((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +56,14 @@ def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((x >> _U(32)).astype(np.float64) + 0.5) * 2.0**-32, ((x & _U(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
 
 
-def terms(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles and their counts."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64) if words else np.zeros(0, np.uint64)
+
+
+def _counted(h: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of words with these hashes, and their counts."""
+    if not len(h):
+        return h, np.zeros(0, np.int64)
     k = min(shingle, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
@@ -67,6 +72,19 @@ def terms(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(out, 1), return_counts=True)
 
 
+def terms(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles and their counts; ``split`` parts words at the bytes 32 and 9 to 13."""
+    return _counted(_hashes(text.lower().split()), shingle)
+
+
+def _joined(head: bytes, tail: bytes, own: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Word hashes of ``head + tail``, a prefix each of texts in lower case with these word hashes: only words at the cuts are hashed."""
+    first, then = head.split(), tail.split()
+    glued = first and then and not head[-1:].isspace() and not tail[:1].isspace()
+    seam = [first[-1] + then[0]] if glued else first[-1:] + then[:1]
+    return np.concatenate([own[: max(len(first) - 1, 0)], _hashes(seam), following[1 : max(len(then) - 1, 1)], _hashes(then[1:][-1:])])
+
+
 def _tables() -> tuple[np.ndarray, ...]:
     """ln rate, ln v, ln E1(v) on a grid of v: P(c exp(-r) >= v) = exp(-rate), and E1 is the exponential integral."""
     ln_v = np.linspace(np.log(1e-18), np.log(64), 1 << 13)
@@ -99,25 +117,41 @@ def _look(x: np.ndarray, even: np.ndarray, *values: np.ndarray) -> list[np.ndarr
 _TERM, _DRAW, _AT = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 
 
-def _arrivals(h: np.ndarray, ln_limit: np.ndarray, wanted: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _arrivals(h: np.ndarray, ln_limit: np.ndarray, wanted: np.ndarray | None = None, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(term, slot, ln rate) of every first arrival of a term in a wanted slot whose v is under the term's limit.
 
     A term's arrivals have exponential gaps and a slot each, so that the first
     in each of the slots are independent draws of that slot's v, least first.
     """
-    until = np.exp(np.interp(ln_limit, _LN_V, _LN_RATE))
+    until = np.exp(_look(ln_limit, _LN_V, _LN_RATE)[0])
     of, now, k, found = np.arange(len(h)), np.zeros(len(h)), 0, []
     while len(of):
         more = max(1, k // 2)
         x = mix(h[of][:, None] + np.arange(k, k + more, dtype=np.uint64) * _DRAW, 2)
-        at = now[:, None] + np.cumsum(-np.log(((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1) / SLOTS
-        slot = (x & _U(SLOTS - 1)).astype(np.int64)
-        i, j = np.nonzero((at < until[of][:, None]) & wanted[base[of][:, None] + slot])
-        found.append((of[i], slot[i, j], at[i, j]))
-        go = at[:, -1] < until[of]
-        of, now, k = of[go], at[go, -1], k + more
+        at = (x >> _U(11)).astype(np.float64)
+        at += 0.5
+        at *= 2.0**-53
+        np.log(at, out=at)
+        if more > 1:
+            np.cumsum(at, axis=1, out=at)
+        at /= -SLOTS
+        at += now[:, None]
+        end = until[of]
+        i = np.flatnonzero(at < end[:, None])
+        term, slot, rate = of[i // more], (x.ravel()[i] & _U(SLOTS - 1)).astype(np.int64), at.ravel()[i]
+        if wanted is not None:
+            keep = wanted[base[term] + slot]
+            term, slot, rate = term[keep], slot[keep], rate[keep]
+        found.append((term, slot, rate))
+        now = at[:, -1]
+        go = now < end
+        of, now, k = of[go], now[go], k + more
     of, slot, at = (np.concatenate(c) for c in zip(*found))
-    _, first = np.unique(of * SLOTS + slot, return_index=True)
+    # a term's first in a slot; places fit below the keys, so that whole numbers are sorted
+    bits = _U(int(len(of)).bit_length())
+    first = np.sort(((of * SLOTS + slot).astype(np.uint64) << bits) | np.arange(len(of), dtype=np.uint64))
+    own = first >> bits
+    first = (first[np.append(True, own[1:] != own[:-1])[: len(own)]] & ((_U(1) << bits) - _U(1))).astype(np.int64)
     return of[first], slot[first], np.log(at[first])
 
 
@@ -125,32 +159,48 @@ def sample(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) ->
     """Fingerprints (texts, SLOTS) of texts given by their weighted terms, as 8-bit or 16-bit values."""
     n = len(found)
     sizes = np.array([len(h) for h, _ in found], np.int64)
-    every_h = np.concatenate([x for x, _ in found])
-    every_w = np.concatenate([x for _, x in found]).astype(np.float64)
-    every_row = np.repeat(np.arange(n), sizes)
-    ln_total = np.log(np.maximum(np.bincount(every_row, every_w, n), 1))
+    h = np.concatenate([x for x, _ in found])
+    w = np.concatenate([x for _, x in found]).astype(np.float64)
+    row = np.repeat(np.arange(n), sizes)
+    ln_total = np.log(np.maximum(np.bincount(row, w, n), 1))
     out, wanted = np.zeros(n * SLOTS, kind), np.repeat(sizes > 0, SLOTS)
+    by_term = np.argsort(h)  # the texts of a term side by side
+    h, ln_w, row = h[by_term], np.log(w[by_term]), row[by_term]
     for bound in (3.0, 8.0, 20.0, 60.0):
-        live = wanted.reshape(n, SLOTS).any(axis=1)[every_row]
-        h, ln_w, row = every_h[live], np.log(every_w[live]), every_row[live]
+        slots = wanted.reshape(n, SLOTS)
+        live = slots.any(axis=1)[row]
+        h, ln_w, row = h[live], ln_w[live], row[live]
         if not len(h):
             break
-        of, slot, ln_rate = _arrivals(h, np.log(bound) + ln_w - ln_total[row], wanted, row * SLOTS)
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        held = np.diff(np.append(begin, len(h)))
+        term, limit = h[begin], np.maximum.reduceat(ln_w - ln_total[row], begin) + np.log(bound)
+        if slots.all():
+            of, slot, ln_rate = _arrivals(term, limit)
+        else:  # slots that any text of the term wants
+            any_of = np.bitwise_or.reduceat(np.packbits(slots, axis=1).view(np.uint64)[row], begin, axis=0)
+            of, slot, ln_rate = _arrivals(term, limit, np.unpackbits(any_of.view(np.uint8)).view(bool), np.arange(len(term)) * SLOTS)
         ln_v, ln_e1 = _look(ln_rate, _EVEN_RATE, _V_OF_RATE, _E1_OF_RATE)
-        key = h[of] + slot.astype(np.uint64) * _AT
+        key = term[of] + slot.astype(np.uint64) * _AT
         u1, u2 = _uniforms(mix(key, 3))
         beta, _ = _uniforms(mix(key, 4))
         # given v, c is s + an exponential draw, where s over v has the density exp(-s) / s
         ln_c = np.log(np.exp(_look(ln_e1 + np.log(u1), _EVEN_E1, _S_OF_E1)[0]) - np.log(u2))
         r = np.maximum(ln_c - ln_v, 1e-12)
-        t = np.floor(ln_w[of] / r + beta)
-        ln_a = ln_c - r * (t - beta + 1)
+        # each draw with each text of its term
+        often = held[of]
+        draw = np.repeat(np.arange(len(of)), often)
+        entry = np.arange(len(draw)) + np.repeat(begin[of] - (np.cumsum(often) - often), often)
+        to = row[entry] * SLOTS + slot[draw]
+        t = np.floor(ln_w[entry] / r[draw] + beta[draw])
+        ln_a = ln_c[draw] - r[draw] * (t - beta[draw] + 1)
         # what has not arrived has an a over the bound, so a slot is settled by what lies under it, else by a later round
-        under = np.flatnonzero((ln_a < np.log(bound) - ln_total[row[of]]) | (bound == 60))
-        under = under[np.argsort(-ln_a[under], kind="stable")]  # the least is written last
-        to = row[of[under]] * SLOTS + slot[under]
-        out[to] = mix(key[under] + t[under].astype(np.int64).astype(np.uint64) * _TERM, 6) >> _U(64 - 8 * np.dtype(kind).itemsize)
-        wanted[to] = False
+        under = np.flatnonzero(wanted[to] & ((ln_a < np.log(bound) - ln_total[row[entry]]) | (bound == 60)))
+        least = np.full(n * SLOTS, np.inf)
+        np.minimum.at(least, to[under], ln_a[under])
+        won = under[ln_a[under] == least[to[under]]]
+        out[to[won]] = mix(key[draw[won]] + t[won].astype(np.int64).astype(np.uint64) * _TERM, 6) >> _U(64 - 8 * np.dtype(kind).itemsize)
+        wanted[to[won]] = False
     return out.reshape(n, SLOTS)
 
 
@@ -172,19 +222,22 @@ def edited(text: str, following: str) -> str:
 
 
 def _rows(part: list[tuple], following: str) -> Iterator[tuple]:
-    texts = [t for _, t in part]
-    after = [*texts[1:], following]
-    new = [edited(a, b) for a, b in zip(texts, after)]
-    own = [terms(t.encode()) for t in [*texts, following]]
-    marks = sample(own)
-    other = [terms(t.encode()) for t in new]
-    changed = sample(other)
+    texts = [t for _, t in part] + [following]
+    words = [_hashes(t.encode().lower().split()) for t in texts]
+    own, other, digests = [_counted(h) for h in words], [], []
+    for i, (a, b) in enumerate(zip(texts, texts[1:])):
+        m = len(a) // 4
+        head, tail = a[: len(a) - m].encode(), b[:m].encode()
+        digests.append(hashlib.sha256(head + tail).hexdigest())
+        other.append(_counted(_joined(head.lower(), tail.lower(), words[i], words[i + 1])))
+    both = sample(own + other)
+    marks, changed = both[: len(own)], both[len(own) :]
     void = np.array([not len(h) for h, _ in own])
     void_new = np.array([not len(h) for h, _ in other])
     near_new = likeness(marks[:-1], changed, void[:-1], void_new)
     near_next = likeness(marks[:-1], marks[1:], void[:-1], void[1:])
     for i, (ident, t) in enumerate(part):
-        yield ident, len(t), hashlib.sha256(new[i].encode()).hexdigest(), marks[i].tobytes().hex(), changed[i].tobytes().hex(), float(near_new[i]), float(near_next[i])
+        yield ident, len(t), digests[i], marks[i].tobytes().hex(), changed[i].tobytes().hex(), float(near_new[i]), float(near_next[i])
 
 
 def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_task: int = 8000) -> DataFrame:

@@ -61,6 +61,36 @@ def test_draws_are_gamma_draws():
         assert abs(np.searchsorted(v, want[int(q * len(v))]) / len(v) - q) < 6 * (q * (1 - q) / len(v)) ** 0.5
 
 
+def test_draws_are_shared_by_the_texts_of_a_block(monkeypatch):
+    from gradeloom.llm import weighted_sampling as W
+
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(400)}" for _ in range(600)]
+    texts = [" ".join(words), " ".join(words[:200] * 3), " ".join(words[100:] + words), "w1", "", "w2 " * 40, " ".join(words)]
+    found = [terms(t.encode()) for t in texts]
+    alone = [sample([f])[0] for f in found]
+    drawn, arrivals = [], W._arrivals
+    monkeypatch.setattr(W, "_arrivals", lambda h, *rest: drawn.append(len(h)) or arrivals(h, *rest))
+    assert (sample(found) == np.array(alone)).all()
+    assert max(drawn) == len(np.unique(np.concatenate([h for h, _ in found]))) < sum(len(h) for h, _ in found) / 2
+
+
+def test_words_at_the_cut_only_are_hashed_again(monkeypatch):
+    from gradeloom.llm import weighted_sampling as W
+
+    rng = random.Random(3)
+    pieces = ["a", "B", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "é", "🙂", "\t ", "zz zz ", "Word"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 2, 4, 9, 60]))) for _ in range(400)]
+    for i, (a, b) in enumerate(zip(texts, texts[1:])):
+        (row,) = W._rows([(i, a)], b)
+        e = edited(a, b)
+        assert row[2:5] == (hashlib.sha256(e.encode()).hexdigest(), fingerprint(a), fingerprint(e))
+    hashed, hashes = [], W._hashes
+    monkeypatch.setattr(W, "_hashes", lambda words: hashed.append(len(words)) or hashes(words))
+    list(W._rows([(0, "some words " * 500)], "more words " * 500))
+    assert sum(hashed) <= 2000 + 3
+
+
 def test_query_rows(spark):
     rng = random.Random(1)
     rows = [(7 * i - 50, " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(40)))) for i in range(150)]
