@@ -122,6 +122,7 @@ def _arrivals(h: np.ndarray, ln_limit: np.ndarray, wanted: np.ndarray | None = N
 
     A term's arrivals have exponential gaps and a slot each, so that the first
     in each of the slots are independent draws of that slot's v, least first.
+    ``wanted`` has truth values, or eight of them a byte; a term's begin at ``base``.
     """
     until = np.exp(_look(ln_limit, _LN_V, _LN_RATE)[0])
     of, now, k, found = np.arange(len(h)), np.zeros(len(h)), 0, []
@@ -140,7 +141,8 @@ def _arrivals(h: np.ndarray, ln_limit: np.ndarray, wanted: np.ndarray | None = N
         i = np.flatnonzero(at < end[:, None])
         term, slot, rate = of[i // more], (x.ravel()[i] & _U(SLOTS - 1)).astype(np.int64), at.ravel()[i]
         if wanted is not None:
-            keep = wanted[base[term] + slot]
+            at_slot = base[term] + slot
+            keep = wanted[at_slot] if wanted.dtype == bool else (wanted[at_slot >> 3] & (128 >> (at_slot & 7))) > 0
             term, slot, rate = term[keep], slot[keep], rate[keep]
         found.append((term, slot, rate))
         now = at[:, -1]
@@ -179,7 +181,7 @@ def sample(found: list[tuple[np.ndarray, np.ndarray]], kind: type = np.uint8) ->
             of, slot, ln_rate = _arrivals(term, limit)
         else:  # slots that any text of the term wants
             any_of = np.bitwise_or.reduceat(np.packbits(slots, axis=1).view(np.uint64)[row], begin, axis=0)
-            of, slot, ln_rate = _arrivals(term, limit, np.unpackbits(any_of.view(np.uint8)).view(bool), np.arange(len(term)) * SLOTS)
+            of, slot, ln_rate = _arrivals(term, limit, any_of.view(np.uint8).ravel(), np.arange(len(term)) * SLOTS)
         ln_v, ln_e1 = _look(ln_rate, _EVEN_RATE, _V_OF_RATE, _E1_OF_RATE)
         key = term[of] + slot.astype(np.uint64) * _AT
         u1, u2 = _uniforms(mix(key, 3))
