@@ -31,6 +31,11 @@ from gradeloom.llm.shared import bounded_batches, materialize
 _ENCODERS: dict[str, WordEncoder] = {}
 #: Letters for which composition and lower-casing go letter by letter.
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words of such letters, digits and ASCII marks without the apostrophe, and the parts that the tokenizer encodes each for itself.
+_MADE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-~]+")
+_PART = re.compile(r"[a-zà-öø-ÿß]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: The characters that stand for bytes in a byte-level vocabulary, with the space left as it is.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x20 < b < 0x7F or 0xA0 < b < 0xAD or 0xAD < b)) if b != 0x20}
 
 
 class WordEncoder:
@@ -38,8 +43,11 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its parts between spaces and newlines, which are remembered.
-    Unknown parts that are plain words, maybe before a comma or full stop, are
-    encoded many at once in lower case, and told apart by their last tokens.
+    Unknown parts that are plain words, maybe before a comma or full stop, and
+    runs of letters or marks and digits that others are made of are encoded
+    many at once in lower case, and told apart by their last tokens. About
+    ``most`` are remembered, in two halves: once the younger is full it becomes
+    the older, whose words that were not met again since are forgotten.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, longest: int = 48, segment: int = 1 << 19):
@@ -49,22 +57,25 @@ class WordEncoder:
         self.most, self.longest, self.segment = most, longest, segment
         self.tok, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         bare.normalizer = normalizers.Sequence([])
-        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # bytes are written as their characters before
         self.batch, self.bare = (getattr(t, "encode_batch_fast", t.encode_batch) for t in (self.tok, bare))
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.marks = self._each([".", ","])
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.batch(words, add_special_tokens=False))}
 
     def _plain(self, words: list[str], line: int = 100) -> dict[str, bytes]:
-        """Plain words in lower case, ``line`` of them encoded as one text."""
+        """Plain words in lower case, or single parts of words, ``line`` of them encoded as one text."""
         out = {}
         lines = [words[i : i + line] for i in range(0, len(words), line)]
-        for own, e in zip(lines, self.bare([" ".join(x) for x in lines], add_special_tokens=False)):
+        texts = [" ".join(x) for x in lines]
+        texts = [t if t.isascii() else t.encode().decode("latin-1").translate(_BYTES) for t in texts]
+        for own, e in zip(lines, self.bare(texts, add_special_tokens=False)):
             ids = np.asarray(e.ids, dtype="<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) == len(own):
@@ -75,20 +86,26 @@ class WordEncoder:
         return out
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        plain, known = {}, self.known  # a word and its stem in lower case
+        plain, made = {}, {}  # a word and its stem in lower case, or its parts
         for w in words:
             stem = w[:-1] if w[-1] in ".," else w
             if stem.isalpha() and (stem.isascii() or _PLAIN.fullmatch(stem)):
                 plain[w] = stem.lower()
-        new = {s for s in plain.values() if s not in known}
-        out = self._plain(list(new))
-        rest = words - plain.keys()
+            elif _MADE.fullmatch(w) and "<|" not in w:  # special tokens begin with <|
+                made[w] = _PART.findall(w.lower())
+        stems = set(plain.values()).union(*made.values())
+        had = {s: ids for s in stems if (ids := self.known.get(s) or self.older.get(s))}
+        out = self._plain(list(stems - had.keys()))
+        rest = words - plain.keys() - made.keys()
         if rest:
             out.update(self._each(list(rest)))
         for w, s in plain.items():
             if w not in out:
-                ids = out[s] if s in out else known[s]
+                ids = out[s] if s in out else had[s]
                 out[w] = ids if len(w) == len(s) else ids + self.marks[w[-1]]
+        for w, own in made.items():
+            if w not in out:
+                out[w] = b"".join([out[s] if s in out else had[s] for s in own])
         return out
 
     def _segments(self, text: str) -> Iterator[str]:
@@ -112,18 +129,20 @@ class WordEncoder:
         return out
 
     def _look_up(self, parts: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        words = [w for _, own in parts for w in own]
-        got = list(map(self.known.get, words))
-        if None in got:
-            learnt = self._learn({w for w, ids in zip(words, got) if ids is None})
-            got = [learnt[w] if ids is None else ids for w, ids in zip(words, got)]
-            if len(self.known) + len(learnt) > self.most:
-                self.known = {"": b""}
-            self.known.update((w, ids) for w, ids in learnt.items() if len(w) <= self.longest)
-        at = 0
+        words = set().union(*[own for _, own in parts])
+        unknown, long = words.difference(self.known), []
+        if unknown:
+            again = {w: self.older[w] for w in unknown & self.older.keys()} if self.older else {}
+            learnt = self._learn(unknown - again.keys()) | again
+            long = [w for w in learnt if len(w) > self.longest]
+            self.known.update(learnt)
+        find = self.known.__getitem__
         for i, own in parts:
-            out[i] += b"".join(got[at : at + len(own)])
-            at += len(own)
+            out[i] += b"".join(map(find, own))
+        for w in long:
+            del self.known[w]
+        if 2 * len(self.known) > self.most:
+            self.known, self.older = {"": b""}, self.known
 
 
 def encoder(path: str) -> WordEncoder:

@@ -38,6 +38,27 @@ def test_any_text(texts):
         assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_only_odd_words_take_the_whole_tokenizer(tok):
+    enc, whole = WordEncoder(PATH), []
+    batch = enc.batch
+    enc.batch = lambda words, **options: whole.extend(words) or batch(words, **options)
+    words = ["abc&&&", "échchque###", "Ingti.%%%", "a1b22", "3,14", "x_y@z.Org", "É?!É", "ab.,", "word's", "中文", "a<|endoftext|>", "<|EndOfText|>", "a<b", "|x|"]
+    for w, ids in zip(words, enc.encode(words)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids, w
+    assert sorted(whole) == sorted(["word's", "中文", "a<|endoftext|>", "<|EndOfText|>"])
+
+
+def test_words_in_use_are_not_forgotten(tok):
+    enc, learnt = WordEncoder(PATH, most=100), []
+    learn = enc._learn
+    enc._learn = lambda words: learnt.extend(words) or learn(words)
+    for k in range(40):
+        text = f"often met every time {' '.join('rare' + chr(97 + i) + chr(97 + k % 26) * (1 + k // 26) for i in range(10))}"
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert len(enc.known) + len(enc.older) <= 100 + 14
+    assert learnt.count("often") == 1 and len(learnt) == 404
+
+
 def verify(spark, tok, rows, capacity, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = [r.asDict() for r in pack_documents(df, PATH, capacity=capacity, **options).collect()]
